@@ -57,10 +57,13 @@ def capitalise_after(c: Column, separators: str) -> Column:
 def title_case(c: Column) -> Column:
     """Each run of letters starts upper-case and goes on lower-case, so ``3rd`` gives ``3Rd``."""
     runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    cased = F.transform(
-        runs,
-        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w)))),
-    )
+
+    def first(w: Column) -> Column:
+        # a letter whose upper case is two letters (sharp s) keeps only the first of them raised
+        upper = F.upper(F.substring(w, 1, 1))
+        return F.concat(F.substring(upper, 1, 1), F.lower(upper.substr(F.lit(2), F.length(upper))))
+
+    cased = F.transform(runs, lambda w: F.concat(first(w), F.lower(w.substr(F.lit(2), F.length(w)))))
     return F.array_join(cased, "")
 
 

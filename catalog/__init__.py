@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _GROUPS = (
-    "rows", "columns", "cleaning",
+    "profiles", "rows", "columns", "cleaning", "analytics", "validation",
 )
 
 

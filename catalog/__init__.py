@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _GROUPS = (
-    "profiles", "rows", "columns", "cleaning", "analytics", "validation",
+    "profiles", "rows", "columns", "cleaning", "analytics", "validation", "audit",
 )
 
 

@@ -30,7 +30,7 @@ _SENTINEL = "('', 'nan', 'na', 'n/a', 'none', 'null', 'nil', 'missing', 'unknown
 _TEXTS = ["name", "email", "gender", "country", "phone", "address", "signup_date", "website", "score_text", "segment"]
 
 
-@query("smart_sentinels", _records([(c, "NULL", "sentinel_detection", "1.0", f"lower(trim({c})) IN {_SENTINEL}") for c in _TEXTS]))
+@query("smart_sentinels", _records([(c, "CAST(NULL AS VARCHAR)", "sentinel_detection", "1.0", f"lower(trim({c})) IN {_SENTINEL}") for c in _TEXTS]))
 def smart_sentinels(spark, sf):
     return _step(spark, sf, "dirty_customer", smart.normalize_sentinels)
 

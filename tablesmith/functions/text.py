@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import string
 import unicodedata
 
@@ -9,9 +10,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four ASCII separators that also count as blanks.
-_BLANK = r"[\s\x1c-\x1f]"
-_EDGE = rf"(?U)\A{_BLANK}+|{_BLANK}+\z"
+from tablesmith.functions.binding import let
+
+# Every character that counts as a blank (Unicode white space and the four ASCII
+# separators), for trimming; and the same set as the body of a regex class.
+_BLANKS = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0         "
+    "       　"
+)
+_BLANK_CLASS = r"[ \t-\r\x1c-\x1f\x85\xa0  -     　]"
+# a run of blanks that is not already one plain space
+_UNEVEN_BLANKS = rf"[{_BLANK_CLASS}&&[^ ]]{_BLANK_CLASS}*| {_BLANK_CLASS}+"
 
 # Texts that stand for a missing value. Compared lower-cased and stripped.
 CLEANER_SENTINELS = [
@@ -25,20 +34,24 @@ PROFILER_SENTINELS = [
 
 
 def strip(c: Column) -> Column:
-    """Drop leading and trailing white space of any script (``trim`` drops U+0020 only)."""
-    return F.regexp_replace(c, _EDGE, "")
+    """Drop leading and trailing blanks of any script (plain ``trim`` drops U+0020 only).
+
+    Trimming a character set looks at the edges; a pattern would scan the whole text.
+    """
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def has_edge_space(c: Column) -> Column:
-    return c.rlike(rf"(?U)\A{_BLANK}|{_BLANK}\z")
+    return strip(c) != c
 
 
 def collapse_space(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){_BLANK}+", " ")
+    return F.regexp_replace(c, _UNEVEN_BLANKS, " ")
 
 
 def is_sentinel(c: Column, words: list[str] = CLEANER_SENTINELS) -> Column:
-    return F.lower(strip(c)).isin(words)
+    s = strip(c)
+    return (F.length(s) <= max(map(len, words))) & F.lower(s).isin(words)
 
 
 def ascii_upper(c: Column) -> Column:
@@ -47,7 +60,7 @@ def ascii_upper(c: Column) -> Column:
 
 def capitalise_after(c: Column, separators: str) -> Column:
     """Upper-case an ASCII letter at the start and after each separator (a regex class body)."""
-    pieces = F.split(c, rf"(?U)(?<=[{separators}])", -1)
+    pieces = F.split(c, rf"(?<=[{separators}])", -1)
     raised = F.transform(
         pieces, lambda w: F.concat(ascii_upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))
     )
@@ -56,44 +69,64 @@ def capitalise_after(c: Column, separators: str) -> Column:
 
 def title_case(c: Column) -> Column:
     """Each run of letters starts upper-case and goes on lower-case, so ``3rd`` gives ``3Rd``."""
-    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
 
-    def first(w: Column) -> Column:
+    def raised(w: Column) -> Column:
         # a letter whose upper case is two letters (sharp s) keeps only the first of them raised
-        upper = F.upper(F.substring(w, 1, 1))
-        return F.concat(F.substring(upper, 1, 1), F.lower(upper.substr(F.lit(2), F.length(upper))))
+        rest = F.lower(w.substr(F.lit(2), F.length(w)))
+        return let(
+            F.upper(F.substring(w, 1, 1)),
+            lambda first: F.concat(
+                F.when(F.length(first) > 1, F.initcap(first)).otherwise(first), rest
+            ),
+        )
 
-    cased = F.transform(runs, lambda w: F.concat(first(w), F.lower(w.substr(F.lit(2), F.length(w)))))
-    return F.array_join(cased, "")
+    # cut before each letter that follows no letter
+    return F.array_join(F.transform(F.split(c, r"(?<![\p{L}])(?=[\p{L}])", -1), raised), "")
 
 
-# Letters and signs that compatibility normalisation leaves alone when no combining
-# mark follows; any other character sends the value through the normaliser.
-_NFKC_STABLE = (
-    r"[^\x00-\x7f¡-§©«¬®°±¶·»¿-ı"
-    r"Ĵ-ľŁ-ňŊ-žЀ-ҁ–—‘’“”一-鿿]"
-)
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+@functools.cache
+def _tidy_unicode():
+    """Built on first use, of nested functions: they travel to the executors by value, so the
+    package need not be installed there."""
+
+    def one(value: str) -> str:
+        value = unicodedata.normalize("NFKC", value)
+        if not value.replace("\n", " ").replace("\t", " ").isprintable():
+            value = "".join(ch for ch in value if ch in "\n\t" or not unicodedata.category(ch).startswith("C"))
+        return " ".join(value.split())
+
+    def tidy_batch(values: pd.Series) -> pd.Series:
+        return values.map(one, na_action="ignore")
 
+    return F.pandas_udf(tidy_batch, "string")
 
-@F.pandas_udf("string")
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
+def _single_spaces(c: Column) -> Column:
+    """Runs of spaces become one. Plain replacing halves a run each time and is many times faster
+    than a pattern; only a text with a run longer than eight needs the pattern."""
+    two, one = F.lit("  "), F.lit(" ")
+    halved = F.replace(F.replace(F.replace(c, two, one), two, one), two, one)
+    return let(halved, lambda t: F.when(F.contains(t, two), F.regexp_replace(t, " {2,}", " ")).otherwise(t))
 
-def nfkc(c: Column) -> Column:
-    """Unicode NFKC. Spark has no such built-in, so the rare value that can change goes
-    through an Arrow UDF; all others are passed to it as null and stay in the JVM."""
-    return F.coalesce(_nfkc(F.when(c.rlike(_NFKC_STABLE), c)), c)
 
+def tidy(c: Column) -> Column:
+    """NFKC, no invisible characters, any run of blanks as one space, none at the edges.
 
-def tidy(c: Column, unicode: bool = True) -> Column:
-    """NFKC, drop invisible characters, turn any white space run into one blank, strip."""
-    base = nfkc(c) if unicode else c
-    visible = F.regexp_replace(base, r"[\p{C}&&[^\n\t]]", "")
-    return strip(collapse_space(visible))
+    Spark has no Unicode normalisation, so texts beyond ASCII go through an Arrow UDF. ASCII texts
+    are handed to it as null and stay in the JVM.
+    """
+    hidden = r"[\x00-\x08\x0b-\x1f\x7f]"
+    shown = F.when(c.rlike(hidden), F.regexp_replace(c, hidden, "")).otherwise(c)
+    spaced = F.replace(F.replace(shown, F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
+    plain = F.trim(_single_spaces(spaced))
+    return F.when(is_ascii(c), plain).otherwise(_tidy_unicode()(F.when(~is_ascii(c), c)))
 
 
 def pattern_signature(c: Column) -> Column:
     """Letters as A, digits as 9, any white space as a blank."""
-    blank = F.regexp_replace(c, r"(?U)\s", " ")
+    blank = F.regexp_replace(c, _BLANK_CLASS, " ")
     return F.regexp_replace(F.regexp_replace(blank, "[a-zA-Z]", "A"), r"\d", "9")

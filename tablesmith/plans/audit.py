@@ -14,6 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesmith.functions.binding import let
 from tablesmith.types import col
 
 LOG = "__audit"
@@ -31,6 +32,39 @@ def entry(column: str, old: Column, new: Column, method: Column, confidence: Col
     )
 
 
+def _cells(columns: list[str], ready: Mapping[str, str]) -> Column:
+    def cell(c: str) -> Column:
+        parts = [F.lit(c).alias("column"), col(c).alias("old")]
+        return F.struct(*parts, F.col(ready[c]).alias("ready")) if ready else F.struct(*parts)
+
+    return F.array(*[cell(c) for c in columns])
+
+
+def _apply(fix: Callable[..., Column], prepared: bool) -> Callable[[Column], Column]:
+    def run(x: Column) -> Column:
+        old = x.getField("old")
+        result = fix(old, x.getField("ready")) if prepared else let(old, fix)
+        return F.struct(x.getField("column").alias("column"), old.alias("old"), result.alias("s"))
+
+    return run
+
+
+def _has_record(x: Column) -> Column:
+    return x.getField("s").getField("method").isNotNull()
+
+
+def _as_record(x: Column) -> Column:
+    s = x.getField("s")
+    return F.struct(
+        x.getField("column").alias("column"),
+        x.getField("old").cast("string").alias("old_value"),
+        s.getField("new").cast("string").alias("new_value"),
+        s.getField("method").alias("method"),
+        s.getField("confidence").alias("confidence"),
+        s.getField("reason").alias("reason"),
+    )
+
+
 @dataclass(frozen=True)
 class Audited:
     """A table under cleaning: ``frame`` holds the data and the records since the last removal,
@@ -53,32 +87,43 @@ class Audited:
     @property
     def audit(self) -> DataFrame:
         """``(row_id, column, old_value, new_value, method, confidence, reason)``."""
-        log = self.frame.where(F.size(LOG) > 0).select(col(self.row_id).alias("row_id"), F.inline(LOG))
+        # Outer inline plus a filter on its output: a plain inline makes the optimizer infer
+        # size(log) > 0 and push it, with all repairs spelled out, below every projection.
+        log = self.frame.select(col(self.row_id).alias("row_id"), F.inline_outer(LOG)).where("method IS NOT NULL")
         return log if self.earlier is None else self.earlier.unionByName(log)
 
     @property
     def columns(self) -> list[str]:
         return [c for c in self.frame.columns if c not in (LOG, self.row_id)]
 
-    def step(self, repairs: Mapping[str, Callable[[Column], Column]]) -> Audited:
-        """Apply one repair per named column and append what it recorded."""
+    def step(
+        self, repairs: Mapping[str, Callable[..., Column]], prepare: Callable[[Column], Column] | None = None
+    ) -> Audited:
+        """Apply one repair per named column and append what it recorded.
+
+        Columns that share a repair are gathered in one array and repaired by one lambda, so the
+        plan grows with the number of repairs, not of columns. ``prepare`` computes, in a
+        projection of its own, a second argument of the repairs.
+        """
         if not repairs:
             return self
-        marks = {c: f"__s{i}" for i, c in enumerate(repairs)}
-        staged = self.frame.withColumns({marks[c]: fix(col(c)) for c, fix in repairs.items()})
-        entries = []
-        for c, m in marks.items():
-            s = F.col(m)
-            new = s.getField("new")
-            entries.append(
-                F.when(
-                    s.getField("method").isNotNull(),
-                    entry(c, col(c), new, s.getField("method"), s.getField("confidence"), s.getField("reason")),
-                )
-            )
-        grown = F.concat(F.col(LOG), F.array_compact(F.array(*entries)).cast(ENTRY))
-        out = staged.withColumns({LOG: grown, **{c: F.col(m).getField("new") for c, m in marks.items()}})
-        return replace(self, frame=out.drop(*marks.values()))
+        groups: dict[Callable[..., Column], list[str]] = {}
+        for c, fix in repairs.items():
+            groups.setdefault(fix, []).append(c)
+        frame = self.frame
+        ready = {}
+        if prepare is not None:
+            ready = {c: f"__p{i}" for i, c in enumerate(repairs)}
+            frame = frame.withColumns({p: prepare(col(c)) for c, p in ready.items()})
+
+        staged, fresh, logs = {}, {}, [F.col(LOG)]
+        for i, (fix, members) in enumerate(groups.items()):
+            mark = f"__s{i}"
+            staged[mark] = F.transform(_cells(members, ready), _apply(fix, bool(ready)))
+            fresh |= {c: F.get(F.col(mark), F.lit(j)).getField("s").getField("new") for j, c in enumerate(members)}
+            logs.append(F.transform(F.filter(F.col(mark), _has_record), _as_record).cast(ENTRY))
+        out = frame.withColumns(staged).drop(*ready.values()).withColumns({LOG: F.concat(*logs), **fresh})
+        return replace(self, frame=out.drop(*staged))
 
     def remove(self, kept: DataFrame, gone: DataFrame, what: str, method: str, reason: str) -> Audited:
         """Go on with the rows of ``kept``; ``gone`` holds the ids of the removed rows."""

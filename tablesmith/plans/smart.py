@@ -15,7 +15,7 @@ from tablesmith.operators.ordering import add_row_id, fill_along
 from tablesmith.operators.quantiles import exact_quantiles, median_absolute_deviation
 from tablesmith.operators.values import mode_literal, modes
 from tablesmith.plans.audit import LOG, Audited, cells_changed, entry
-from tablesmith.session import durable, first_row
+from tablesmith.session import first_row, stored
 from tablesmith.types import BOOLEAN, DATETIME, STRING, col, column_types, named_like, numeric_columns, text_columns
 
 MAX_DELETION_PCT = 5.0
@@ -38,7 +38,7 @@ def normalize_sentinels(t: Audited, columns: Sequence[str] | None = None) -> Aud
 
 
 def clean_text(t: Audited, columns: Sequence[str] | None = None) -> Audited:
-    return t.step({c: repair.tidy_text for c in _texts(t, columns)})
+    return t.step({c: repair.tidy_text for c in _texts(t, columns)}, prepare=text.tidy)
 
 
 def standardize_names(t: Audited, columns: Sequence[str] | None = None) -> Audited:
@@ -46,12 +46,14 @@ def standardize_names(t: Audited, columns: Sequence[str] | None = None) -> Audit
 
 
 def standardize_categories(t: Audited, columns: Sequence[str] | None = None) -> Audited:
+    gender = repair.category(patterns.GENDERS, "gender")
+    country = repair.category(patterns.COUNTRIES, "country")
     repairs: dict[str, Callable[[Column], Column]] = {}
     for c in _texts(t, columns):
         if any(w in c.lower() for w in patterns.GENDER_WORDS):
-            repairs[c] = repair.category(patterns.GENDERS, "gender")
+            repairs[c] = gender
         elif any(w in c.lower() for w in patterns.COUNTRY_WORDS):
-            repairs[c] = repair.category(patterns.COUNTRIES, "country")
+            repairs[c] = country
     return t.step(repairs)
 
 
@@ -107,7 +109,7 @@ def convert_data_types(
         recorded = new.isNotNull() & (new.cast("string") != text.strip(v))
         return F.when(recorded, repair.outcome(new, "type_conversion", 0.95, note)).otherwise(repair.unchanged(new))
 
-    return t.step({c: convert for c in numeric})
+    return t.step(dict.fromkeys(numeric, convert))
 
 
 def impute_missing(
@@ -276,13 +278,14 @@ def smart_clean(
     steps: Sequence[str] | None = None,
     columns: Sequence[str] | None = None,
     dry_run: bool = False,
-    materialize: bool = False,
+    materialize: bool = True,
 ) -> SmartResult:
     """Run the audited steps in their fixed order (or a subset of steps and columns).
 
-    Steps 1 to 9 are one projection. Steps 10 to 13 each need one aggregate over the table first;
-    ``materialize`` writes the table to durable storage once before them, which pays off when the
-    source is dearer to read than the cleaned rows. A halt skips the two removing steps.
+    Steps 1 to 9 are one projection. Steps 10 to 13 each measure the table before they act, so the
+    cleaned rows are written once, as Parquet in the shared folder, and measured there column by
+    column; ``materialize=False`` recomputes them for each measure instead. A halt skips the two
+    removing steps.
     """
     unknown = [s for s in steps or () if s not in STEPS]
     if unknown:
@@ -294,7 +297,7 @@ def smart_clean(
     wanted = [s for s in STEPS if steps is None or s in steps]
     for s in wanted:
         if s not in ROW_LOCAL and materialize:
-            t, materialize = replace(t, frame=durable(t.frame)), False
+            t, materialize = replace(t, frame=stored(t.frame, "cleaned")), False
         if s in _WHOLE_ROW:
             if not t.halted:
                 t = STEPS[s](t)

@@ -15,6 +15,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _GROUPS = (
     "profiles", "rows", "columns", "cleaning", "analytics", "validation", "audit",
+    "joins", "insights", "series",
 )
 
 

@@ -79,9 +79,9 @@ def _density(c, t):
  FROM (SELECT o, round_even(100.0::DOUBLE * o / n, 1) AS p FROM (SELECT count({c}) AS n, count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS o FROM {t}, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM {t}) WHERE q3 > q1)) WHERE o > 0 AND p >= 2"""
 
 
-@query("insight_outliers", _density("price_cubed", "(SELECT l_extendedprice * l_extendedprice * l_extendedprice AS price_cubed FROM lineitem)"))
+@query("insight_outliers", _density("price_power", "(SELECT power(l_extendedprice / 1000, 6) AS price_power FROM lineitem)"))
 def insight_outliers(spark, sf):
-    items = table(spark, sf, "lineitem").selectExpr("l_extendedprice * l_extendedprice * l_extendedprice AS price_cubed")
+    items = table(spark, sf, "lineitem").selectExpr("power(l_extendedprice / 1000, 6) AS price_power")
     return insights.outlier_density(items).select(*_KEPT)
 
 

@@ -161,7 +161,7 @@ def train(
         raise ValueError(f"training needs at least {MIN_ROWS} rows")
     split = train_test_split(known, row_id, test_size, stratify=target if task == CLASSIFICATION else None)
     # read once per iteration of the fit
-    split = split.select(*[col(c) for c in {*chosen, target}], "is_test").persist()
+    split = split.select(*[col(c) for c in dict.fromkeys([*chosen, target])], "is_test").persist()
     try:
         fit_rows, held_out = split.where("NOT is_test"), split.where("is_test")
         stages, numeric, categorical = feature_stages(fit_rows, chosen)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tablesmith.operators.quantiles import grouped_median
 from tablesmith.types import categorical_columns, col, numeric_columns, require_columns
 
-# Aggregate expressions in one pass; wide tables are read in several column-pruned passes.
-PAIRS_PER_PASS = 100
+# Pairs summed in one pass; a pass reads only its own columns.
+PAIRS_PER_PASS = 60
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
@@ -101,28 +101,61 @@ def aggregate(
     return grouped.orderBy(F.desc_nulls_last("value"), F.asc("name")).limit(top)
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Correlation over rows where both are known; null when either is constant."""
-    both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
-
-
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(x, y, r)`` for each pair of numeric columns, x before y in schema order."""
+    """``(x, y, r)`` for each pair of numeric columns, x before y in schema order.
+
+    Rows count where both values are known; r is null when either is constant there. A first
+    pass takes the means, so that the second is plain sums of centred products: cheap per row, and
+    without the cancellation that sums of raw squares would suffer.
+    """
     names = numeric_columns(df, columns)
-    out = None
     pairs = list(itertools.combinations(names, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "x string, y string, r double")
+    seen = df.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.struct(F.avg(col(c)), F.count(col(c))).alias(f"c{i}") for i, c in enumerate(names)]
+    ).first()
+    whole = {c: seen[f"c{i}"][1] == seen["rows"] for i, c in enumerate(names)}
+    centred = df.select(
+        *[(col(c).cast("double") - F.lit(seen[f"c{i}"][0] or 0.0)).alias(f"v{i}") for i, c in enumerate(names)]
+    )
+    place = {c: f"v{i}" for i, c in enumerate(names)}
+    out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start : start + PAIRS_PER_PASS]
-        row = df.agg(*[pearson(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        cells = [
-            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(chunk)
-        ]
-        part = row.select(F.inline(F.array(*cells)))
+        part = _pair_sums(centred, pairs[start : start + PAIRS_PER_PASS], place, whole)
         out = part if out is None else out.unionAll(part)
-    return out if out is not None else df.sparkSession.createDataFrame([], "x string, y string, r double")
+    return out
+
+
+def _pair_sums(centred: DataFrame, pairs: list[tuple[str, str]], place: dict[str, str], whole: dict[str, bool]) -> DataFrame:
+    sums = {"n": "CAST(count(1) AS DOUBLE)"}
+
+    def need(name: str, value: str) -> str:
+        sums.setdefault(name, f"sum({value})")
+        return name
+
+    cells = []
+    for a, b in pairs:
+        x, y = place[a], place[b]
+        xy = need(f"{x}_{y}", f"{x} * {y}")
+        if whole[a] and whole[b]:
+            # no gaps: the sums of one column serve all of its pairs
+            n, sx, sy = "n", need(f"{x}_s", x), need(f"{y}_s", y)
+            sxx, syy = need(f"{x}_q", f"{x} * {x}"), need(f"{y}_q", f"{y} * {y}")
+        else:
+            both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
+            n, sx, sy, sxx, syy = (
+                need(f"{xy}_{k}", f"CASE WHEN {both} THEN {v} END")
+                for k, v in (("n", "1D"), ("x", x), ("y", y), ("xx", f"{x} * {x}"), ("yy", f"{y} * {y}"))
+            )
+        vx, vy = f"({sxx} - {sx} * {sx} / {n})", f"({syy} - {sy} * {sy} / {n})"
+        # rounding leaves a constant column a spread of about 1e-16 of its size
+        r = f"CASE WHEN {n} > 0 AND {vx} > {sxx} * 1e-12D AND {vy} > {syy} * 1e-12D THEN ({xy} - {sx} * {sy} / {n}) / sqrt({vx} * {vy}) END"
+        cells.append((a, b, r))
+    row = centred.agg(*[F.expr(v).alias(k) for k, v in sums.items()])
+    measured = row.select(*[F.expr(r).alias(f"r{i}") for i, (_, _, r) in enumerate(cells)])
+    named = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")) for i, (a, b, _) in enumerate(cells)]
+    return measured.select(F.inline(F.array(*named)))
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = 3) -> DataFrame:

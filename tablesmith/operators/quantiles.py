@@ -3,24 +3,31 @@
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. That is fine for
 small groups and used for them. Above a checked size the ranks are found by narrowing: a
 mergeable sketch proposes an interval around each wanted rank, an exact count confirms it, and
-the next round looks only inside. Each round is a pair of map-side combined aggregates; what
-moves is one sketch per task and group. The counts make the answer exact whatever the sketch
-said, and a value repeated by a third of all rows ends a search instead of stalling it.
+the next look is only inside. What moves is one sketch per task and the few values between the
+bounds, combined per task. The counts make the answer exact whatever the sketch said, and a value
+repeated by a third of all rows ends a search instead of stalling it.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablesmith.session import broadcast_if_small, durable, first_row
 from tablesmith.types import col
 
 # Rows x columns up to which one percentile aggregate answers for all columns.
-DIRECT_CELLS = 5_000_000
+DIRECT_CELLS = 200_000
+# Rows of a group up to which a percentile buffer holds its values.
+DIRECT_GROUP_ROWS = 1_000_000
+# Values between the sketched bounds of one quantile that a window may sort in one task.
+WINDOW_ROWS = 5_000_000
 # Values of one group that may be sorted inside a task at the end of a search.
 GATHER_ROWS = 100_000
 _GRID = 512
@@ -113,10 +120,6 @@ def order_statistics(
     return state.where("answer IS NOT NULL").select("key", "rank", "answer").unionByName(last)
 
 
-def _interpolate(low: float, high: float, fraction: float) -> float:
-    return low + (high - low) * fraction
-
-
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str] | Mapping[str, Column],
@@ -139,31 +142,83 @@ def exact_quantiles(
         row = first_row(table.agg(*[F.percentile(F.col(v), probs).alias(v) for v in values]))
         return {n: list(row[v] or [None] * len(probabilities)) for n, v in zip(names, values)}
 
-    sizes = first_row(table.agg(*[F.count(v).alias(v) for v in values]))
-    wanted = []
-    for v in values:
-        for p in probabilities:
-            at = (sizes[v] - 1) * p
-            wanted += [(v, rank, sizes[v]) for rank in {math.floor(at), math.ceil(at)} if sizes[v]]
-    if not wanted:
-        return {n: [None] * len(probabilities) for n in names}
-    ranks = df.sparkSession.createDataFrame(sorted(set(wanted)), "key string, rank bigint, size bigint")
-    long = table.select(
-        F.inline(F.array(*[F.struct(F.lit(v).alias("key"), F.col(v).alias("v")) for v in values]))
+    found = _bracketed(table, values, probabilities)
+    return {n: found[v] for n, v in zip(names, values)}
+
+
+def _bracketed(table: DataFrame, values: list[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
+    """Three column-pruned passes: sketch bounds around each rank, count below and between them,
+    look only at the values between."""
+    margin = 3 / _ACCURACY
+    shares = [x for p in probabilities for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    wanted = F.array(*[F.lit(x) for x in shares])
+    sketched = first_row(
+        table.agg(*[F.struct(F.count(v).alias("n"), F.percentile_approx(v, wanted, F.lit(_ACCURACY)).alias("at")).alias(v) for v in values])
     )
-    found = {(r["key"], r["rank"]): r["answer"] for r in order_statistics(long, "key", "v", ranks).collect()}
-    out: dict[str, list[float | None]] = {}
-    for n, v in zip(names, values):
-        out[n] = []
-        for p in probabilities:
-            at = (sizes[v] - 1) * p
-            if not sizes[v]:
-                out[n].append(None)
-            else:
-                out[n].append(_interpolate(found[v, math.floor(at)], found[v, math.ceil(at)], at - math.floor(at)))
+    targets = []  # (key, column, probability, low bound or None, high bound or None)
+    for v in values:
+        if sketched[v]["n"]:
+            for i, p in enumerate(probabilities):
+                low = sketched[v]["at"][2 * i] if p > margin else None
+                high = sketched[v]["at"][2 * i + 1] if p < 1 - margin else None
+                targets.append((f"{v}:{i}", v, p, low, high))
+    if not targets:
+        return {v: [None] * len(probabilities) for v in values}
+
+    def between(v: str, low: float | None, high: float | None) -> Column:
+        inside = F.col(v).isNotNull()
+        inside = inside if low is None else inside & (F.col(v) >= F.lit(low))
+        return inside if high is None else inside & (F.col(v) <= F.lit(high))
+
+    counts = []
+    for key, v, _, low, high in targets:
+        below = F.lit(0).cast("bigint") if low is None else F.count_if(F.col(v) < F.lit(low))
+        counts.append(F.struct(below, F.count_if(between(v, low, high))).alias(key))
+    counted = first_row(table.agg(*counts))
+
+    ranks, offsets, found, open_targets = [], {}, {}, []
+    for key, v, p, low, high in targets:
+        n, at = sketched[v]["n"], (sketched[v]["n"] - 1) * p
+        below, inside = counted[key]
+        if not (below <= math.floor(at) and math.ceil(at) < below + inside):
+            # the sketch missed: look at the whole column instead
+            low, high, below, inside = None, None, 0, n
+        offsets[key] = below
+        wanted_ranks = {math.floor(at) - below, math.ceil(at) - below}
+        if low is not None and low == high:
+            found |= {(key, rank): low for rank in wanted_ranks}
+        else:
+            open_targets.append((key, between(v, low, high), F.col(v)))
+            ranks += [(key, rank, inside) for rank in wanted_ranks]
+    if ranks:
+        found |= _look_inside(table, open_targets, ranks)
+    out: dict[str, list[float | None]] = {v: [None] * len(probabilities) for v in values}
+    for key, v, p, _, _ in targets:
+        at = (sketched[v]["n"] - 1) * p
+        low, high = (found[key, rank - offsets[key]] for rank in (math.floor(at), math.ceil(at)))
+        out[v][int(key.split(":")[1])] = low + (high - low) * (at - math.floor(at))
     return out
 
 
+def _look_inside(
+    table: DataFrame, targets: list[tuple[str, Column, Column]], ranks: list[tuple[str, int, int]]
+) -> dict[tuple[str, int], float]:
+    """The values at ``(key, rank, size)`` among the rows that meet each key's condition."""
+    rows = table.where(functools.reduce(operator.or_, [inside for _, inside, _ in targets]))
+    cells = [F.struct(F.lit(key).alias("key"), F.when(inside, v).alias("v")) for key, inside, v in targets]
+    long = rows.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
+    ranked = table.sparkSession.createDataFrame(ranks, "key string, rank bigint, size bigint")
+    if max(r[2] for r in ranks) > WINDOW_ROWS:
+        answers = order_statistics(long, "key", "v", ranked)
+    else:
+        tallied = long.groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(W.partitionBy("key").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+        placed = tallied.withColumn("last", upto - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+        hit = F.col("rank").between(F.col("first"), F.col("last"))
+        answers = placed.join(F.broadcast(ranked), "key").where(hit).select("key", "rank", F.col("v").alias("answer"))
+    return {(r["key"], r["rank"]): r["answer"] for r in answers.collect()}
+
+
 def median_absolute_deviation(df: DataFrame, medians: Mapping[str, float | None]) -> dict[str, float | None]:
     """Median of ``|x - median|`` per column."""
     known = {c: F.abs(col(c) - F.lit(m)) for c, m in medians.items() if m is not None}
@@ -171,7 +226,7 @@ def median_absolute_deviation(df: DataFrame, medians: Mapping[str, float | None]
     return {c: found[c][0] if c in found else None for c in medians}
 
 
-def grouped_median(df: DataFrame, group: str, value: str, direct_rows: int = DIRECT_CELLS) -> DataFrame:
+def grouped_median(df: DataFrame, group: str, value: str, direct_rows: int = DIRECT_GROUP_ROWS) -> DataFrame:
     """``(group, value)`` with the exact median per group; no group is gathered above a checked size."""
     data = df.select(col(group).alias("key"), col(value).cast("double").alias("v"))
     sizes = data.groupBy("key").agg(F.count("v").alias("size"))

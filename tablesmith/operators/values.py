@@ -10,20 +10,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesmith.types import FLOAT, INTEGER, col, column_types
 
 
 def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, value, number, n)`` over the non-null values; ``number`` orders numeric ties."""
+    """``(column, value, number, n)`` over the non-null values; ``number`` orders numeric ties.
+
+    Bigint and double cells are grouped as they are and written as text afterwards, once per
+    distinct value.
+    """
     kinds = column_types(df)
 
     def cell(c: str):
-        number = col(c).cast("double") if kinds[c] in (INTEGER, FLOAT) else F.lit(None).cast("double")
-        return F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value"), number.alias("number"))
+        dtype = df.schema[c].dataType
+        whole = col(c).cast("bigint") if kinds[c] == INTEGER else F.lit(None).cast("bigint")
+        real = col(c) if isinstance(dtype, T.DoubleType) else F.lit(None).cast("double")
+        own = kinds[c] == INTEGER or isinstance(dtype, T.DoubleType)
+        text = F.lit(None).cast("string") if own else col(c).cast("string")
+        order = col(c).cast("double") if kinds[c] == FLOAT and not own else F.lit(None).cast("double")
+        named = {"column": F.lit(c), "whole": whole, "real": real, "text": text, "order": order}
+        return F.struct(*[v.alias(k) for k, v in named.items()])
 
     cells = df.select(F.inline(F.array(*[cell(c) for c in columns])))
-    return cells.where("value IS NOT NULL").groupBy("column", "value", "number").agg(F.count(F.lit(1)).alias("n"))
+    keys = ["column", "whole", "real", "text", "order"]
+    counted = cells.where("whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL").groupBy(*keys)
+    return counted.agg(F.count(F.lit(1)).alias("n")).select(
+        "column",
+        F.coalesce(F.col("whole").cast("string"), F.col("real").cast("string"), "text").alias("value"),
+        F.coalesce(F.col("whole").cast("double"), "real", "order").alias("number"),
+        "n",
+    )
 
 
 def value_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:

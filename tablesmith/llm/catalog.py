@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import bpe, chat, decontam, line_dedup, quality, simhash, token_counts
+from tablesmith.llm import bpe, chat, decontam, line_dedup, quality, simhash, suffix_dedup, token_counts
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,6 +47,11 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_turns(chat.format_turns(chats.unionByName(probe)))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, with_kept=False)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -59,6 +64,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -37,6 +37,11 @@ def hash_words(texts: list[bytes], letters_only: bool = False) -> tuple[np.ndarr
 
     Two different words share a hash with a chance of about 2**-64 for each pair.
     """
+    return spelled_words(texts, letters_only)[:2]
+
+
+def spelled_words(texts: list[bytes], letters_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and bounds as in ``hash_words``, and the bytes in which each word starts and ends."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     inside = word_bytes(letters_only)[data]
     edge = np.flatnonzero(np.diff(inside, prepend=False))
@@ -44,13 +49,13 @@ def hash_words(texts: list[bytes], letters_only: bool = False) -> tuple[np.ndarr
     lengths = np.array([len(t) + 1 for t in texts])
     bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths)))) if len(texts) else np.zeros(1, np.int64)
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
+        return np.zeros(0, np.uint64), bounds, data, starts, ends
     spans = ends - starts
     at = np.flatnonzero(inside)
     first = np.cumsum(spans) - spans
     place = np.arange(len(at)) - np.repeat(first, spans)
     sums = np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * _multipliers()[place % _SPELL], first)
-    return mix(sums + mix(spans.astype(np.uint64))), bounds
+    return mix(sums + mix(spans.astype(np.uint64))), bounds, data, starts, ends
 
 
 def windows(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import bpe, chat, decontam, line_dedup, quality, simhash, suffix_dedup, token_counts, toxicity
+from tablesmith.llm import bpe, chat, decontam, line_dedup, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,6 +30,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.score_documents(docs)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.quality_rules(docs).select("doc_id", *quality.MEASURES, "base_failed", "kept")
@@ -66,6 +71,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,

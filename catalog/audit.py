@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog.tables import table
 from tablesmith.functions import numbers
+from tablesmith.operators.ordering import mark_row_id
 from tablesmith.operators.values import duplicate_rows
 from tablesmith.plans import audit, smart
 from tablesmith.plans.audit import Audited
@@ -223,7 +224,7 @@ def dedup_guard_audit(spark, sf):
 @query("dedup_guard_halt", "SELECT count(*) AS \"rows\", CAST(count(*) - count(DISTINCT (text, lang)) AS BIGINT) AS duplicate_rows, (count(*) - count(DISTINCT (text, lang))) * 100.0 / count(*) > 5 AS halted FROM documents")
 def dedup_guard_halt(spark, sf):
     documents = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    t = smart.remove_exact_duplicates(Audited.start(documents, "doc_id"))
+    t = smart.remove_exact_duplicates(Audited.start(mark_row_id(documents, "doc_id"), "doc_id"))
     return duplicate_rows(t.data, ["text", "lang"]).withColumn("halted", F.lit(t.halted))
 
 

@@ -28,7 +28,7 @@ def sql_by_name(spark, sf):
     return sqlspace.run_sql(table(spark, sf, "orders"), text, name="My Orders (2024)")
 
 
-@query("sql_truncated", "SELECT count(*) AS row_count, count(*) > 5000 AS truncated, CAST(5000 AS BIGINT) AS \"limit\" FROM orders WHERE o_orderstatus = 'F'")
+@query("sql_truncated", "SELECT count(*) AS row_count, count(*) > 100000 AS truncated, CAST(100000 AS BIGINT) AS \"limit\" FROM orders WHERE o_orderstatus = 'F'")
 def sql_truncated(spark, sf):
     result = sqlspace.query(table(spark, sf, "orders"), "SELECT * FROM dataset WHERE o_orderstatus = 'F'")
     return sqlspace.result_summary(result, limit=100_000)

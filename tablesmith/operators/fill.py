@@ -24,6 +24,12 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     return {c: v[0] for c, v in exact_quantiles(df, columns, [0.5]).items()}
 
 
+def with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Those columns that miss a value; the others keep their type and every digit."""
+    gaps = first_row(df.agg(*[F.count_if(col(c).isNull()).alias(c) for c in columns])) if columns else {}
+    return [c for c in columns if gaps[c]]
+
+
 def _fill_with(df: DataFrame, values: dict) -> DataFrame:
     known = {c: v for c, v in values.items() if v is not None}
     return df.withColumns({c: F.coalesce(col(c), F.lit(v)) for c, v in known.items()}) if known else df
@@ -39,13 +45,12 @@ def fill_missing(
 ) -> DataFrame:
     """Fill nulls by mean, median, mode, ffill, bfill or a constant.
 
-    Mean and median act on numeric columns only (and make an integer column a double when the
-    fill value needs it). ``ffill`` and ``bfill`` look along ``row_id``.
+    Mean and median act on numeric columns with gaps only; these become doubles. ``ffill`` and ``bfill`` look along ``row_id``.
     """
     if method == "mean":
-        return _fill_with(df, means(df, numeric_columns(df, columns)))
+        return _fill_with(df, means(df, with_gaps(df, numeric_columns(df, columns))))
     if method == "median":
-        return _fill_with(df, medians(df, numeric_columns(df, columns)))
+        return _fill_with(df, medians(df, with_gaps(df, numeric_columns(df, columns))))
     if method == "mode":
         found = {c: v for c, v in modes(df, select_columns(df, columns)).items() if v is not None}
         return df.withColumns({c: F.coalesce(col(c), mode_literal(df, c, v)) for c, v in found.items()})

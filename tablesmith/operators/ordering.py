@@ -19,8 +19,20 @@ SLICE_ROWS = 1_000_000
 MAX_SLICES = 20_000
 
 
+_GENERATED = "tablesmith.generated_row_id"
+
+
+def mark_row_id(df: DataFrame, name: str) -> DataFrame:
+    """Say that a column numbers the rows and is no data of theirs, as ``add_row_id`` does."""
+    return df.withColumn(name, col(name).alias(name, metadata={**df.schema[name].metadata, _GENERATED: True}))
+
+
+def is_generated(df: DataFrame, name: str) -> bool:
+    return bool(df.schema[name].metadata.get(_GENERATED))
+
+
 def add_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Dense 0-based ids in row order.
+    """Dense 0-based ids in row order, marked as no data of the rows.
 
     The partition-local counter is written to durable storage first, so a lost executor
     cannot renumber rows; the offset table has one row per partition.
@@ -33,11 +45,12 @@ def add_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     parts = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     starts = parts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    return (
+    numbered = (
         tagged.join(F.broadcast(starts), "__part")
         .withColumn(name, F.col("__start") + F.col("__at"))
         .drop("__part", "__at", "__start")
     )
+    return mark_row_id(numbered, name)
 
 
 def _slice_order(df: DataFrame, row_id: str, slice_rows: int) -> tuple[DataFrame, int]:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import functools
+import math
 import operator
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions import text
+from tablesmith.operators.ordering import is_generated
 from tablesmith.types import FLOAT, INTEGER, col, column_types, require_columns, select_columns
 
 
@@ -23,7 +26,7 @@ def _all_of(conditions: Sequence[Column]) -> Column:
 
 def contains_text(c: Column, value: str, literal: bool = False) -> Column:
     """Case-insensitive match of a regular expression (or of the literal text)."""
-    return F.coalesce(c.cast("string").rlike("(?i)" + (rf"\Q{value}\E" if literal else value)), F.lit(False))
+    return F.coalesce(c.cast("string").rlike("(?i)" + (re.escape(value) if literal else value)), F.lit(False))
 
 
 def search_rows(df: DataFrame, value: str, literal: bool = False) -> DataFrame:
@@ -71,15 +74,33 @@ def page_totals(df: DataFrame, size: int = 50, search: str | None = None) -> Dat
     return out.agg(F.count(F.lit(1)).alias("total"), pages.alias("total_pages"))
 
 
+# A fractional bound on whole numbers, as the whole bound that keeps the same rows.
+_ROUNDED = {">": (">", math.floor), ">=": (">=", math.ceil), "<": ("<", math.ceil), "<=": ("<=", math.floor)}
+
+
+def _number(value):
+    """A number as int when it is whole, else as float; what is no number stays as it is."""
+    try:
+        if isinstance(value, (int, str)) and not isinstance(value, bool):
+            try:
+                return int(value) if abs(int(value)) < 2**63 else float(value)
+            except ValueError:
+                pass
+        number = float(value)
+    except (TypeError, ValueError):
+        return value
+    return int(number) if number.is_integer() and abs(number) < 2**63 else number
+
+
 def filter_rows(df: DataFrame, column: str, op: str = "==", value=None, literal: bool = False) -> DataFrame:
     """One column/operator/value rule. ``!=`` keeps null rows, the other comparisons drop them."""
     require_columns(df, [column])
     c = col(column)
-    if column_types(df)[column] in (INTEGER, FLOAT) and value is not None and op not in ("contains", "not_contains"):
-        try:
-            value = float(value)
-        except (TypeError, ValueError):
-            pass
+    kind = column_types(df)[column]
+    if kind in (INTEGER, FLOAT) and value is not None and op not in ("contains", "not_contains"):
+        value = _number(value)
+        if kind == INTEGER and isinstance(value, float) and math.isfinite(value) and op in _ROUNDED:
+            op, value = _ROUNDED[op][0], _ROUNDED[op][1](value)  # a whole bound reaches the scan
     rules = {
         "==": lambda: c == F.lit(value),
         "!=": lambda: ~c.eqNullSafe(F.lit(value)),
@@ -113,7 +134,10 @@ def is_empty_row(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 
 
 def remove_duplicates(df: DataFrame, columns: Sequence[str] | None = None, row_id: str | None = None) -> DataFrame:
-    """Keep the first row (in ``row_id`` order) of each combination of ``columns``.
+    """Keep the first row (in ``row_id`` order) of each combination of ``columns`` (all unless named).
+
+    ``row_id`` is data like any other column and compared too, unless ``add_row_id`` made it or
+    ``mark_row_id`` marked it.
 
     An aggregate, not a window: copies are combined before the shuffle, so a combination held
     by a third of all rows costs one row per task.
@@ -121,7 +145,7 @@ def remove_duplicates(df: DataFrame, columns: Sequence[str] | None = None, row_i
     keys = select_columns(df, columns)
     if row_id is None:
         return df.dropDuplicates(keys)
-    if columns is None:
+    if columns is None and is_generated(df, row_id):
         keys = [c for c in keys if c != row_id]
     others = [c for c in df.columns if c not in keys]
     first = F.min_by(F.struct(*[col(c) for c in others]), col(row_id))

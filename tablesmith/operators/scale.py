@@ -7,6 +7,7 @@ an ordinary predicate the Parquet scan can use.
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Sequence
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.operators.quantiles import exact_quantiles
 from tablesmith.session import first_row
-from tablesmith.types import col, numeric_columns
+from tablesmith.types import INTEGER, col, column_types, numeric_columns
 
 IQR_FACTOR = 1.5
 Z_LIMIT = 3.0
@@ -51,6 +52,13 @@ def z_score(c: str, mean: float, std: float) -> Column:
     return (col(c) - F.lit(mean)) / F.lit(std)
 
 
+def _within(df: DataFrame, c: str, low: float, high: float) -> Column:
+    """Plain bounds, whole ones for whole numbers, so that the scan can use them."""
+    if column_types(df)[c] == INTEGER and math.isfinite(low) and math.isfinite(high):
+        low, high = math.ceil(low), math.floor(high)
+    return (col(c) >= F.lit(low)) & (col(c) <= F.lit(high))
+
+
 def remove_outliers(
     df: DataFrame, method: str = "iqr", columns: Sequence[str] | None = None, threshold: float = Z_LIMIT
 ) -> DataFrame:
@@ -59,11 +67,11 @@ def remove_outliers(
     keep: list[Column] = []
     if method == "iqr":
         for c, (low, high, _) in iqr_bounds(df, chosen).items():
-            keep.append(col(c).isNull() | ((col(c) >= F.lit(low)) & (col(c) <= F.lit(high))))
+            keep.append(col(c).isNull() | _within(df, c, low, high))
     elif method == "zscore":
         for c, (mean, std) in moments(df, chosen).items():
             if std:
-                keep.append(col(c).isNull() | (F.abs(z_score(c, mean, std)) <= F.lit(float(threshold))))
+                keep.append(col(c).isNull() | _within(df, c, mean - threshold * std, mean + threshold * std))
     return df.where(functools.reduce(operator.and_, keep)) if keep else df
 
 

@@ -6,6 +6,8 @@ separately and joined by union; the measures behind them are one row per column.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,9 @@ from tablesmith.plans.profile import profile_summary
 from tablesmith.types import categorical_columns, col, numeric_columns
 
 COLUMNS = ("id", "severity", "title", "detail", "column", "number", "pct")
-# How many columns a kind looks at, and where it starts to speak.
-_SKEW_COLUMNS, _SKEW_ROWS, _SKEW = 12, 5, 1.5
-_CATEGORY_COLUMNS = 15
-_OUTLIER_COLUMNS, _OUTLIER_ROWS = 10, 8
+# Where a kind starts to speak.
+_SKEW_ROWS, _SKEW = 5, 1.5
+_OUTLIER_ROWS = 8
 _STRONG, _STRONGEST = 0.7, 5
 
 
@@ -103,9 +104,9 @@ def sample_skewness(x: Column) -> Column:
     return F.when(n > 2, spread * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def skewed_columns(df: DataFrame) -> DataFrame:
-    """Numeric columns with a skewness of at least 1.5 either way."""
-    names = numeric_columns(df)[:_SKEW_COLUMNS]
+def skewed_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Numeric columns (all unless named) with a skewness of at least 1.5 either way."""
+    names = numeric_columns(df, columns)
     if not names:
         return _nothing(df)
     cells = per_column(df, {c: {"known": F.count(col(c)), "skew": sample_skewness(col(c).cast("double"))} for c in names})
@@ -122,9 +123,9 @@ def skewed_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def category_findings(df: DataFrame) -> DataFrame:
-    """Constant columns, columns with very many values, and the dominant value of small ones."""
-    names = categorical_columns(df)[:_CATEGORY_COLUMNS]
+def category_findings(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Constant columns, columns with very many values, and the dominant value of small ones (all unless named)."""
+    names = categorical_columns(df, columns)
     if not names:
         return _nothing(df)
     sizes = per_column(df, {c: {"rows": F.count(F.lit(1))} for c in names})
@@ -159,9 +160,9 @@ def category_findings(df: DataFrame) -> DataFrame:
     )
 
 
-def outlier_density(df: DataFrame) -> DataFrame:
-    """Numeric columns with at least 2 % of their values outside the IQR fences."""
-    names = numeric_columns(df)[:_OUTLIER_COLUMNS]
+def outlier_density(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Numeric columns (all unless named) with at least 2 % of their values outside the IQR fences."""
+    names = numeric_columns(df, columns)
     bounds = {c: b for c, b in scale.iqr_bounds(df, names).items() if b[2] > 0}
     if not bounds:
         return _nothing(df)

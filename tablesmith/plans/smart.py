@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablesmith.functions import numbers, patterns, repair, text
 from tablesmith.functions.numbers import count_where
 from tablesmith.operators import fill, rows, scale
-from tablesmith.operators.ordering import add_row_id, fill_along
+from tablesmith.operators.ordering import add_row_id, fill_along, is_generated
 from tablesmith.operators.quantiles import exact_quantiles, median_absolute_deviation
 from tablesmith.operators.values import mode_literal, modes
 from tablesmith.plans.audit import LOG, Audited, cells_changed, entry
@@ -202,10 +202,13 @@ def remove_exact_duplicates(t: Audited, max_deletion_pct: float = MAX_DELETION_P
     """Keep the first of identical rows, unless more than 5 % of the rows would go: then halt.
 
     The copies are combined before the shuffle, and rows are removed by their unique id, so a
-    row repeated by a third of the table meets no hot key.
+    row repeated by a third of the table meets no hot key. An id that is data of the caller's table
+    is compared like any column; only one that ``add_row_id`` made or ``mark_row_id`` marked is not.
     """
-    first = t.frame.groupBy(*[col(c) for c in t.columns]).agg(
-        F.min(col(t.row_id)).alias(t.row_id), F.count(F.lit(1)).alias("__copies")
+    compared = t.columns if is_generated(t.frame, t.row_id) else [t.row_id, *t.columns]
+    keep_id = F.min(col(t.row_id)).alias("__first")
+    first = t.frame.groupBy(*[col(c) for c in compared]).agg(
+        keep_id, F.count(F.lit(1)).alias("__copies")
     )
     counted = first.agg(F.coalesce(F.sum("__copies"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = counted
@@ -216,7 +219,7 @@ def remove_exact_duplicates(t: Audited, max_deletion_pct: float = MAX_DELETION_P
     if pct > max_deletion_pct:
         reason = f"Removing duplicates would delete {round(pct, 2)}% of the rows (limit {max_deletion_pct}%)."
         return replace(t, halted=True, halt_reason=reason)
-    keep = first.select(col(t.row_id))
+    keep = first.select(F.col("__first").alias(t.row_id))
     kept = t.frame.join(keep, t.row_id, "left_semi")
     gone = t.frame.select(col(t.row_id)).join(keep, t.row_id, "left_anti")
     return t.remove(kept, gone, "duplicate row", "exact_duplicate_removal", "Same as an earlier row.")

@@ -1,28 +1,28 @@
-"""Read-only SQL over a table."""
+"""Read-only SQL over a table.
+
+A query is parsed before it is resolved, and every relation it names must be one of the workspace's
+views or a common table of its own: files, catalogue tables and views of the session stay out of reach.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.types import column_types
 
-MAX_ROWS = 5_000
 MAX_LENGTH = 5_000
 # Words that no query may hold.
 FORBIDDEN = (
-    "insert update delete drop create alter attach detach copy export import install load pragma set call "
-    "vacuum checkpoint truncate grant revoke"
-).split()
+    "insert", "update", "delete", "drop", "create", "alter", "attach", "detach", "copy", "export", "import", "install",
+    "load", "pragma", "set", "call", "vacuum", "checkpoint", "truncate", "grant", "revoke",
+)
 _FORBIDDEN = re.compile(rf"\b({'|'.join(FORBIDDEN)})\b", re.IGNORECASE)
-# Spark SQL can name a file as a table (parquet.`/path`) and run Java methods; neither is a table
-# of the workspace.
-_OUTSIDE = re.compile(
-    r"\b(?:parquet|csv|json|orc|text|xml|avro|binaryfile)\s*\.\s*`|\b(?:java_method|reflect|try_reflect)\s*\(", re.IGNORECASE
-)
+# Functions that run Java methods.
+_OUTSIDE = re.compile(r"`?\b(?:java_method|reflect|try_reflect)\b`?\s*\(", re.IGNORECASE)
 
 
 class SqlError(ValueError):
@@ -59,34 +59,78 @@ def sanitize_table_name(name: str) -> str:
 
 def query(df: DataFrame, sql: str, name: str = "dataset", tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """The whole result. The table is visible as ``data``, ``dataset`` and its own name; ``tables``
-    adds further ones."""
+    adds further ones. Views of the session under these names are there again afterwards."""
     text = validate_query(sql)
     views = {"data": df, "dataset": df, sanitize_table_name(name): df}
     views |= {sanitize_table_name(n): t for n, t in (tables or {}).items()}
+    spark = df.sparkSession
+    require_known(spark, text, views)
+    own = {t.name: spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name in views}
     for view, t in views.items():
         t.createOrReplaceTempView(view)
     try:
-        return df.sparkSession.sql(text)
+        return spark.sql(text)
     except Exception as e:
-        raise SqlError(str(e).strip().splitlines()[0] if str(e) else "the query failed") from e
+        raise SqlError(_first_line(e)) from e
+    finally:
+        for view in views:
+            if view in own:
+                own[view].createOrReplaceTempView(view)
+            else:
+                spark.catalog.dropTempView(view)
+
+
+def _first_line(e: Exception) -> str:
+    return str(e).strip().splitlines()[0] if str(e).strip() else "the query failed"
+
+
+def require_known(spark: SparkSession, text: str, views: Iterable[str]) -> None:
+    """Refuse a query that names a relation other than ``views`` and its own common tables.
+
+    Spark's parser finds the relations, in subqueries too; a name in several parts is never known.
+    """
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:
+        raise SqlError(_first_line(e)) from e
+    known, named = {v.lower() for v in views}, set()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            named.add(node.multipartIdentifier().mkString("\x1f").lower())
+        elif kind == "UnresolvedWith":
+            known |= {_item(node.cteRelations(), i)._1().lower() for i in range(node.cteRelations().size())}
+        for inner in (node.children(), node.innerChildren()):
+            todo += [_item(inner, i) for i in range(inner.size())]
+    if not named <= known:
+        raise SqlError("the query reaches outside the given tables")
+
+
+def _item(seq, i: int):
+    return seq.apply(i)
 
 
 def run_sql(
-    df: DataFrame, sql: str, limit: int = 1000, name: str = "dataset", tables: Mapping[str, DataFrame] | None = None
+    df: DataFrame, sql: str, limit: int | None = 1000, name: str = "dataset", tables: Mapping[str, DataFrame] | None = None
 ) -> DataFrame:
-    """At most ``limit`` rows of the result (1..5000)."""
-    return query(df, sql, name, tables).limit(clamp(limit))
+    """At most ``limit`` rows of the result, all with None."""
+    out = query(df, sql, name, tables)
+    return out if limit is None else out.limit(_checked(limit))
 
 
-def clamp(limit: int) -> int:
-    return max(1, min(int(limit), MAX_ROWS))
+def _checked(limit: int) -> int:
+    if limit < 1:
+        raise ValueError("limit must be 1 or more, or None for all rows")
+    return int(limit)
 
 
 def result_summary(result: DataFrame, limit: int = 1000) -> DataFrame:
     """One row ``(row_count, truncated, limit)`` about a whole result."""
     n = F.count(F.lit(1))
     return result.agg(
-        n.alias("row_count"), (n > clamp(limit)).alias("truncated"), F.lit(clamp(limit)).cast("bigint").alias("limit")
+        n.alias("row_count"), (n > _checked(limit)).alias("truncated"), F.lit(_checked(limit)).cast("bigint").alias("limit")
     )
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it was counted and holds at most this many rows.
+# A side is broadcast only when it was counted and holds at most this many rows and bytes of text form.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,11 +53,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when a bounded count proves the side small, else leave the
-    join strategy to Spark (sort-merge with AQE skew splitting)."""
-    small = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if small else df
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``keep(df, name)`` as in ``stored``, for tables that only the work inside needs.
+
+    They are deleted on leaving, so what goes on must have been stored outside, or read already.
+    """
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        paths.append(scratch_path(spark, name))
+        df.write.parquet(paths[-1])
+        return spark.read.parquet(paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            delete_path(spark, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table this library wrote below the shared folder."""
+    if "/tablesmith-" not in path:
+        raise ValueError(f"'{path}' is no scratch table")
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when a bounded look proves the side small in rows and in bytes, else leave
+    the join strategy to Spark (sort-merge with AQE skew splitting)."""
+    size = F.octet_length(F.to_json(F.struct("*")))
+    n, total = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and total <= limit_bytes else df
 
 
 def first_row(df: DataFrame) -> dict:

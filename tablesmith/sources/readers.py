@@ -17,7 +17,7 @@ MISSING_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-_INTEGER = r"^\s*[-+]?\d{1,18}\s*$"
+_INTEGER = r"^\s*[-+]?\d+\s*$"
 _FLOAT = r"(?i)^\s*[-+]?(?:(?:\d+\.?\d*|\.\d+)(?:e[-+]?\d+)?|inf|infinity)\s*$"
 _TRUE, _FALSE = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 DELIMITERS = (",", ";", "\t", "|")
@@ -36,6 +36,7 @@ def _typed(raw: DataFrame, sample: float | None) -> DataFrame:
         F.struct(
             F.count(col(c)),
             F.bool_and(col(c).rlike(_INTEGER)),
+            F.bool_and(F.trim(col(c)).try_cast("bigint").isNotNull()),
             F.bool_and(col(c).rlike(_FLOAT)),
             F.bool_and(col(c).isin(_TRUE + _FALSE)),
         ).alias(f"f{i}")
@@ -43,8 +44,8 @@ def _typed(raw: DataFrame, sample: float | None) -> DataFrame:
     ]
     found = looked.agg(*fits).first()
 
-    def cast(c: str, count: int, integer: bool, number: bool, truth: bool):
-        if not count:
+    def cast(c: str, count: int, integer: bool, fitting: bool, number: bool, truth: bool):
+        if not count or integer and not fitting:  # longer integers stay text: a double would change them
             return col(c)
         if integer:
             return F.trim(col(c)).try_cast("bigint").alias(c)

@@ -63,16 +63,45 @@ def test_sql_guard(spark):
     df = spark.range(3).withColumnRenamed("id", "v")
     assert sqlspace.run_sql(df, "select sum(v) AS s from data;").first().s == 3
     assert sqlspace.query(df, "WITH a AS (SELECT * FROM dataset) SELECT * FROM a").count() == 3
-    for bad in ("", "DELETE FROM data", "select 1; select 2", "SELECT 1 WHERE 'x' = 'drop'", "EXPLAIN SELECT 1", "select * from parquet.`/etc`", "select reflect('a','b')"):
+    nested = "WITH a AS (SELECT v FROM data), b AS (WITH c AS (SELECT * FROM a) SELECT * FROM c) SELECT * FROM b WHERE v IN (SELECT v FROM a)"
+    assert sqlspace.query(df, nested).count() == 3 and sqlspace.query(df, "SELECT * FROM range(2)").count() == 2
+    spark.range(1).createOrReplaceTempView("foreign_view")
+    spark.range(7).createOrReplaceTempView("data")
+    reaching = (
+        "select * from parquet.`/etc`", "SELECT * FROM `csv`.`/etc/passwd`", "SELECT * FROM csv /* x */ . /* y */ `/etc/passwd`", "SELECT * FROM foreign_view",
+        "SELECT * FROM global_temp.x", "SELECT v FROM data WHERE v IN (SELECT id FROM foreign_view)", "SELECT (SELECT max(id) FROM foreign_view) FROM data",
+        "SELECT 'CTE [foreign_view]' FROM foreign_view", "WITH a AS (SELECT * FROM `text`.`/etc/passwd`) SELECT * FROM a", "TABLE foreign_view",
+    )
+    for bad in (*reaching, "", "DELETE FROM data", "select 1; select 2", "SELECT 1 WHERE 'x' = 'drop'", "EXPLAIN SELECT 1", "select reflect('a','b')", "select `reflect`('a','b')"):
         with pytest.raises(sqlspace.SqlError):
             sqlspace.query(df, bad)
     with pytest.raises(sqlspace.SqlError):
         sqlspace.query(df, "SELECT nope FROM data")
-    assert (sqlspace.clamp(0), sqlspace.clamp(10**9)) == (1, 5000)
+    assert spark.table("data").count() == 7  # the session's own view is there again
+    assert not spark.catalog.tableExists("dataset")
+    assert sqlspace.run_sql(spark.range(6000), "select * from data", limit=None).count() == 6000
+    with pytest.raises(ValueError):
+        sqlspace.run_sql(df, "select * from data", limit=0)
     names = {"My Data (1)": "my_data_1", "2024 x": "ds_2024_x", "--": "ds_dataset", "a__b": "a_b"}
     assert {k: sqlspace.sanitize_table_name(k) for k in names} == names
 
 
+def test_long_integers_keep_their_digits(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("a,b,c\n1234567890123456789,12345678901234567890,5\n1234567890123456788,1,6\n")
+    df = readers.load(spark, str(path))
+    assert df.dtypes == [("a", "bigint"), ("b", "string"), ("c", "bigint")]
+    assert {(r.a, r.b) for r in df.collect()} == {(1234567890123456789, "12345678901234567890"), (1234567890123456788, "1")}
+
+
+def test_insights_look_at_every_column(spark):
+    wide = spark.range(60).selectExpr(*[f"IF(id = 59, 1000000, id % 7 + {i}) AS n{i:02}" for i in range(20)], *[f"'one' AS c{i:02}" for i in range(20)])
+    assert insights.skewed_columns(wide).count() == 20 and insights.skewed_columns(wide, ["n03"]).count() == 1
+    assert insights.category_findings(wide).count() == 20
+    spread = spark.range(100).selectExpr(*[f"IF(id > 95, 100000, id) AS n{i:02}" for i in range(15)])
+    assert insights.outlier_density(spread).count() == 15
+
+
 def test_readers(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text('id,name,day,score,ok,gap\n1,"a, b",2023-01-15,1.5,True,NA\n2,"say ""x""",,2,FALSE,\n')

@@ -1,6 +1,6 @@
 import pytest
 
-from tablesmith import types
+from tablesmith import session, types
 from tablesmith.operators import columns, fill, joins, ordering, rows, scale
 from tablesmith.operators.analytics import aggregate, correlation, histogram, value_counts
 from tablesmith.plans import registry
@@ -211,6 +211,10 @@ def test_pipeline_registry(spark):
     with pytest.raises(ValueError):
         registry.apply_operation(spark.range(1), "nope")
     df = spark.createDataFrame([(" a ", 1), (" a ", 1), (None, None)], "s string, v int")
+    keyed = spark.createDataFrame([(1, "LA", 9007199254740993), (2, "LA", 9007199254740993)], "id int, city string, big bigint")
+    for own in (registry.auto_clean(keyed, "id"), rows.remove_duplicates(keyed, row_id="id")):
+        assert {(r.id, r.big) for r in own.collect()} == {(1, 9007199254740993), (2, 9007199254740993)}
+    assert rows.remove_duplicates(ordering.mark_row_id(keyed, "id"), row_id="id").count() == 1
     cleaned = registry.auto_clean(df)
     assert values(cleaned, "s", "v") == [("a", 1.0), ("a", 1.0)]
 
@@ -231,11 +235,38 @@ def test_filters_reach_the_scan(spark):
     plan = rows.filter_rows(orders, "o_totalprice", ">", 1000)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_totalprice,1000.0)" in plan
     bounded = scale.remove_outliers(orders, "iqr", ["o_totalprice"]).select("o_orderkey")
+    for op, value, pushed in (
+        ("==", 5, "EqualTo(o_custkey,5)"), (">", "5", "GreaterThan(o_custkey,5)"), (">", 5.5, "GreaterThan(o_custkey,5)"), (">=", 5.5, "GreaterThanOrEqual(o_custkey,6)"),
+        ("<", 5.5, "LessThan(o_custkey,6)"), ("<=", 5.0, "LessThanOrEqual(o_custkey,5)"),
+    ):
+        kept = rows.filter_rows(orders, "o_custkey", op, value)
+        assert pushed in kept._jdf.queryExecution().executedPlan().toString()
+        python = {"==": lambda x: x == 5, ">": lambda x: x > float(value), ">=": lambda x: x >= value, "<": lambda x: x < value, "<=": lambda x: x <= value}[op]
+        assert kept.count() == sum(python(r.o_custkey) for r in orders.select("o_custkey").collect())
+    for method in ("iqr", "zscore"):
+        whole = scale.remove_outliers(orders, method, ["o_custkey"])._jdf.queryExecution().executedPlan().toString()
+        assert "LessThanOrEqual(o_custkey" in whole
     text = bounded._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(" in text or "LessThanOrEqual(o_totalprice" in text
     assert "o_orderpriority" not in text.split("ReadSchema")[-1]
 
 
+def test_scratch_tables_go(spark):
+    with session.scratch_tables(spark) as keep:
+        table = keep(spark.range(3), "x")
+        (path,) = {p.rsplit("/", 1)[0] for p in table.inputFiles()}
+        assert table.count() == 3
+    assert not spark._jvm.java.io.File(path.removeprefix("file://")).exists()
+    with pytest.raises(ValueError):
+        session.delete_path(spark, "/tmp/other")
+
+
+def test_broadcasts_are_checked_in_bytes(spark):
+    wide = spark.range(10).selectExpr("id", "repeat('x', 1000) AS t")
+    hinted = lambda **k: "ResolvedHint" in session.broadcast_if_small(wide, **k)._jdf.queryExecution().analyzed().toString()
+    assert hinted() and not hinted(limit=9) and not hinted(limit_bytes=9000)
+
+
 def test_strings_from_functions(spark):
     df = spark.createDataFrame([("o'brien-smith 3rd",), ("  a\t",), (" a",), ("straße ßa",)], "s string")
     assert values(columns.change_case(df, "title"), "s")[0] == "O'Brien-Smith 3Rd"

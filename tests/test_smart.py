@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablesmith.functions import text
+from tablesmith.operators.ordering import mark_row_id
 from tablesmith.plans import audit, smart
 from tablesmith.plans.audit import Audited
 from tablesmith.streaming import clean
@@ -102,7 +103,10 @@ def test_imputation_strategies(spark):
 
 def test_duplicate_guard(spark):
     rows = [(i, i // 2 if i < 2 else i) for i in range(40)]  # one copy in 40
-    t = Audited.start(spark.createDataFrame(rows, "row_id int, v int"), "row_id")
+    df = spark.createDataFrame(rows, "row_id int, v int")
+    t = Audited.start(mark_row_id(df, "row_id"), "row_id")
+    own = smart.remove_exact_duplicates(Audited.start(df, "row_id"))  # the key is data: no row repeats
+    assert not own.halted and own.data.count() == 40 and own.audit.count() == 0
     kept = smart.remove_exact_duplicates(t)
     assert not kept.halted and kept.data.count() == 39
     assert [(r.row_id, r.method) for r in kept.audit.collect()] == [(1, "exact_duplicate_removal")]
@@ -148,7 +152,7 @@ def test_pipeline_on_selected_steps_and_columns(spark):
 
 def test_halt_keeps_rows_and_skips_removal(spark):
     df = spark.createDataFrame([(i, "same", None) for i in range(10)] + [(10, None, None)], "id int, s string, t string")
-    result = smart.smart_clean(df, "id")
+    result = smart.smart_clean(mark_row_id(df, "id"), "id")
     assert result.halted and result.data.count() == 11
 
 

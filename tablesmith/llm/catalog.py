@@ -37,7 +37,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality.quality_rules(docs).select("doc_id", *quality.MEASURES, "base_failed", "kept")
+    return quality.quality_rules(docs, carry=["doc_id"]).select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

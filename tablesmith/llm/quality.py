@@ -7,6 +7,8 @@ average; hosts whose shrunk rate is too high lose all their documents.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,12 +49,12 @@ def _repeated(words: Column) -> Column:
     return F.struct(F.size(words).cast("long").alias("n_words"), count(words).alias("n_repeat_words"))
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus MEASURES and ``n_lines`` (lines with a word); columns of these names are replaced."""
+def measure(docs: DataFrame, text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (all unless named) plus MEASURES and ``n_lines`` (lines with a word), which replace columns of these names."""
     text = text_of(text_col)
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     lined = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("all"), F.size(F.array_distinct(x)).cast("long").alias("own")))
-    others = [c for c in docs.columns if c not in (*MEASURES, "n_lines")]
+    others = [c for c in (docs.columns if carry is None else carry) if c not in (*MEASURES, "n_lines")]
     with_structs = docs.select(F.struct(*others).alias("row"), let(_words(text_of(text_col)), _repeated).alias("w"), lined.alias("l"), text.alias("t"))
     return with_structs.select(
         *[F.col("row")[c].alias(c) for c in others],
@@ -109,18 +111,21 @@ def host_verdicts(measured: DataFrame, host_col: str = "source", max_rate: float
     )
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """``docs`` plus the measures, ``base_failed``, ``host_rejected`` and ``kept``.
+def quality_rules(
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, carry: Sequence[str] | None = None
+) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all unless named; the host is always one) plus the measures, ``base_failed``, ``host_rejected`` and ``kept``.
 
     A null or empty text has no words and fails; a null host has no verdict, so its documents
     stand or fall alone. Repeated rows each count. Columns of the added names are replaced.
     """
     # measured once and written: the aggregate and the join both read the few small columns
     added = (*MEASURES, "n_lines", "base_failed", "host_rejected", "kept")
-    own = docs.select(*[c for c in docs.columns if c not in added])
-    measured = keep(measure(own, text_col), "measures")
+    columns = [c for c in (docs.columns if carry is None else dict.fromkeys([*carry, host_col])) if c not in added]
+    measured = keep(measure(docs, text_col, columns), "measures")
     broken = rule_failures()
-    rejected = host_verdicts(measured, host_col, max_rate).where("rejected").select(F.col("host").alias(host_col), F.lit(True).alias("host_rejected"))
+    # written too: hosts are few, so Spark knows whether they can be broadcast, and else can split a hot host
+    rejected = keep(host_verdicts(measured, host_col, max_rate).where("rejected").select(F.col("host").alias(host_col), F.lit(True).alias("host_rejected")), "hosts")
     base = broken["too_short"] | broken["repetitive"]
     judged = measured.join(rejected, host_col, "left").withColumn("base_failed", base)
     judged = judged.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.binding import let
-from tablesmith.llm.common import BLANK_CLASS, hash128, lower_ascii, row_key, text_of
+from tablesmith.llm.common import BLANK_CLASS, hash128, keep, lower_ascii, row_key, text_of
 
 _EDGES = f"^{BLANK_CLASS}+|{BLANK_CLASS}+$"
 
@@ -31,7 +31,8 @@ def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col
     )
     # the first distinct is map-side combined; one very common line is one row per document
     spread = lines.select("key", "line_key").distinct().groupBy("line_key").count().where(F.col("count") >= min_docs)
-    return lines.join(spread.select("line_key"), "line_key", "left_semi")
+    # written, so that the join has plain exchanges below it and Spark can split a very common line
+    return lines.join(keep(spread.select("line_key"), "common-lines"), "line_key", "left_semi")
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.llm import anchors
-from tablesmith.llm.common import hash128, keep, row_key, text_of
+from tablesmith.llm.common import hash128, row_key, text_of
 from tablesmith.llm.decontam import bloom_filter, in_bloom
+from tablesmith.session import scratch_tables, stored
 
 SIZE = 100
 LETTER = 8
@@ -199,7 +200,7 @@ def _sorted_shards(regions: DataFrame, kind: str) -> DataFrame:
     return dealt.select("anchor", "doc_id", "mark", "start", "bytes").mapInArrow(work, f"doc_id {kind}, mark long, start long, stop long")
 
 
-def _hashed_windows(regions: DataFrame) -> DataFrame:
+def _hashed_windows(regions: DataFrame, keep) -> DataFrame:
     """The same spans, window by window: equal windows by 128-bit hash, at any number of them."""
     every = regions.select("doc_id", "mark", "start", "bytes", F.explode(F.expr(f"sequence(0, octet_length(bytes) - {SIZE})")).alias("i"))
     place = F.struct("doc_id", "mark", (F.col("start") + F.col("i")).alias("start"))
@@ -210,7 +211,15 @@ def _hashed_windows(regions: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_contents: int = HOT_CONTENTS) -> DataFrame:
-    """``doc_id``, ``mark`` (tells rows of one id apart), ``start``, ``stop``: spans of bytes to remove, which may overlap."""
+    """``doc_id``, ``mark`` (tells rows of one id apart), ``start``, ``stop``: spans of bytes to remove, which may overlap.
+
+    They are written to the shared folder; the far larger tables they are found with are deleted.
+    """
+    with scratch_tables(docs.sparkSession) as keep:
+        return stored(_spans(docs, keep, id_col, text_col, hot_contents), "spans")
+
+
+def _spans(docs: DataFrame, keep, id_col: str, text_col: str, hot_contents: int) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col)["a"].alias("mark"), F.encode(text_of(text_col), "UTF-8").alias("bytes"))
     rows = rows.where(F.octet_length("bytes") >= SIZE)
@@ -235,7 +244,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = keep(_scan(rows, f"anchor long, {place}, bytes binary", _contents, bloom_filter(contested, contested.count())), "suffixes")
     hot = sizes.where(F.col("n") > hot_contents).select("anchor")
     sorted_spans = _sorted_shards(texts.join(hot, "anchor", "left_anti"), kind)
-    return removed.unionByName(sorted_spans).unionByName(_hashed_windows(texts.join(hot, "anchor", "left_semi")))
+    return removed.unionByName(sorted_spans).unionByName(_hashed_windows(texts.join(hot, "anchor", "left_semi"), keep))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True, hot_contents: int = HOT_CONTENTS) -> DataFrame:

@@ -228,6 +228,13 @@ def dedup_guard_halt(spark, sf):
     return duplicate_rows(t.data, ["text", "lang"]).withColumn("halted", F.lit(t.halted))
 
 
+@query("dedup_guard_key", "SELECT c_custkey, c_nationkey FROM customer")
+def dedup_guard_key(spark, sf):
+    """A key that is data is compared: rows that differ only there all stay."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    return smart.remove_exact_duplicates(Audited.start(customers, "c_custkey")).data
+
+
 @query("remove_empty_rows_audit", "SELECT row_id, 'empty_row_removal' AS method FROM blank_parts WHERE coalesce(trim(a), '') = '' AND coalesce(trim(b), '') = '' AND c IS NULL")
 def remove_empty_rows_audit(spark, sf):
     t = smart.remove_empty_rows(Audited.start(table(spark, sf, "blank_parts"), "row_id"))

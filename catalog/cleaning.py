@@ -20,6 +20,13 @@ def fill_mean(spark, sf):
     return _rounded(fill.fill_missing(view, "mean", ["o_totalprice", "o_orderstatus"]), ["o_totalprice"], 4)
 
 
+@query("fill_mean_keeps_int", "SELECT row_id, CAST(row_id AS BIGINT) + 9007199254740993 AS big FROM null_orders")
+def fill_mean_keeps_int(spark, sf):
+    """A column without gaps keeps its type and every digit."""
+    view = table(spark, sf, "null_orders").selectExpr("row_id", "CAST(row_id AS BIGINT) + 9007199254740993 AS big")
+    return fill.fill_missing(view, "mean", ["big"])
+
+
 @query("fill_median", "SELECT row_id, round(coalesce(o_custkey, (SELECT quantile_cont(CAST(o_custkey AS DOUBLE), 0.5) FROM null_orders)), 4) AS o_custkey, round(coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM null_orders)), 4) AS o_totalprice FROM null_orders")
 def fill_median(spark, sf):
     view = table(spark, sf, "null_orders").select("row_id", "o_custkey", "o_totalprice")

@@ -61,6 +61,16 @@ def insight_skew(spark, sf):
     return insights.skewed_columns(_orders(spark, sf)).select(*_KEPT)
 
 
+_WIDE = range(20)
+
+
+@query("insight_skew_wide", " UNION ALL ".join(f"SELECT 'skew_n{i:02}' AS id FROM null_orders WHERE o_totalprice IS NOT NULL GROUP BY 1 HAVING count(*) >= 5 AND abs(skewness(o_totalprice + {i})) >= 1.5" for i in _WIDE))
+def insight_skew_wide(spark, sf):
+    """Every column of a wide table is looked at."""
+    view = table(spark, sf, "null_orders").selectExpr(*[f"o_totalprice + {i} AS n{i:02}" for i in _WIDE])
+    return insights.skewed_columns(view).select("id")
+
+
 def _cardinality(c, t):
     return f"""SELECT CASE WHEN u = 1 THEN 'const_{c}' WHEN u > greatest(50, floor(n * 0.5)) THEN 'highcard_{c}' ELSE 'top_{c}' END AS id, CASE WHEN u = 1 THEN 'warning' ELSE 'info' END AS severity,
  CASE WHEN u = 1 THEN 'Constant column ''{c}''' WHEN u > greatest(50, floor(n * 0.5)) THEN 'High cardinality: ''{c}''' ELSE 'Dominant category in ''{c}''' END AS title,

@@ -28,6 +28,15 @@ def src_csv(spark, sf):
     return readers.read_csv(spark, _delimited(spark, sf, ",", "csv"))
 
 
+@query("src_csv_long_ids", "SELECT CAST(o_orderkey AS BIGINT) + 1234567890123000000 AS long_id, '9' || CAST(CAST(o_orderkey AS BIGINT) + 1234567890123000000 AS VARCHAR) AS longer_id FROM orders")
+def src_csv_long_ids(spark, sf):
+    """Integers of 19 digits stay integers; longer ones stay text."""
+    path = scratch_path(spark, "long-ids")
+    ids = table(spark, sf, "orders").selectExpr("CAST(o_orderkey AS BIGINT) + 1234567890123000000 AS long_id")
+    ids.selectExpr("long_id", "concat('9', CAST(long_id AS STRING)) AS longer_id").write.option("header", True).csv(path)
+    return readers.read_csv(spark, path)
+
+
 @query("src_tsv", _WITH_GAPS)
 def src_tsv(spark, sf):
     return readers.read_tsv(spark, _delimited(spark, sf, "\t", "tsv"))

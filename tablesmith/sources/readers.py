@@ -36,7 +36,7 @@ def _typed(raw: DataFrame, sample: float | None) -> DataFrame:
         F.struct(
             F.count(col(c)),
             F.bool_and(col(c).rlike(_INTEGER)),
-            F.bool_and(F.trim(col(c)).try_cast("bigint").isNotNull()),
+            F.bool_and(F.when(col(c).isNotNull(), F.trim(col(c)).try_cast("bigint").isNotNull())),
             F.bool_and(col(c).rlike(_FLOAT)),
             F.bool_and(col(c).isin(_TRUE + _FALSE)),
         ).alias(f"f{i}")

@@ -88,7 +88,7 @@ def test_sql_guard(spark):
 
 def test_long_integers_keep_their_digits(spark, tmp_path):
     path = tmp_path / "long.csv"
-    path.write_text("a,b,c\n1234567890123456789,12345678901234567890,5\n1234567890123456788,1,6\n")
+    path.write_text("a,b,c\n1234567890123456789,12345678901234567890,5\n1234567890123456788,1,\n")
     df = readers.load(spark, str(path))
     assert df.dtypes == [("a", "bigint"), ("b", "string"), ("c", "bigint")]
     assert {(r.a, r.b) for r in df.collect()} == {(1234567890123456789, "12345678901234567890"), (1234567890123456788, "1")}

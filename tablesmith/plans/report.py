@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.operators import analytics
 from tablesmith.plans import outliers, profile, validate
+from tablesmith.session import stored
 from tablesmith.types import numeric_columns
 
 
@@ -47,16 +48,15 @@ def build(df: DataFrame) -> dict[str, DataFrame]:
     return out | {f"overview_{k}": v for k, v in analytics.overview(df).items()}
 
 
-def _sections(makers: dict[str, Callable[[], DataFrame]], spark) -> dict[str, DataFrame]:
-    """Plan each section by itself: one that cannot be planned is reported in ``errors``."""
+def _made(makers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], list[tuple[str, str, str]]]:
+    """Run each section once and write it; one that fails, at any time, leaves a row instead."""
     out, errors = {}, []
     for name, make in makers.items():
         try:
-            out[name] = make()
+            out[name] = stored(make(), f"report-{name}")
         except Exception as e:
             errors.append((name, type(e).__name__, str(e).splitlines()[0] if str(e) else ""))
-    out["errors"] = spark.createDataFrame(errors, "section string, kind string, message string")
-    return out
+    return out, errors
 
 
 def enterprise(
@@ -66,31 +66,65 @@ def enterprise(
     fuzzy_threshold: float = 0.85,
     audit: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """The sheets: Profile, Quality Scores, Validation, Outliers, Fuzzy Duplicates, Audit Log, Summary."""
+    """The sheets: Profile, Quality Scores, Validation, Outliers, Fuzzy Duplicates, Audit Log, Summary.
+
+    Each section is computed once, and the summary reads what was written. A section that fails
+    does not stop the others: it is missing, with its rows of the summary, and named in ``errors``.
+    """
     from tablesmith.operators import fuzzy
 
-    makers: dict[str, Callable[[], DataFrame]] = {
-        "profile": lambda: profile.column_profile(df),
-        "quality_scores": lambda: score_sheet(df),
-        "validation": lambda: validate.validate_dataset(df),
-        "outliers": lambda: outliers.outlier_report(df),
-        "fuzzy_duplicates": lambda: fuzzy.fuzzy_groups(df, row_id, columns=fuzzy_columns, threshold=fuzzy_threshold),
-    }
+    parts, errors = _made(
+        {
+            "profile": lambda: profile.column_profile(df),
+            "quality_scores": lambda: profile.quality_scores(df),
+            "validation": lambda: validate.validate_dataset(df),
+            "outliers": lambda: outliers.outlier_report(df),
+            "fuzzy_duplicates": lambda: fuzzy.fuzzy_groups(df, row_id, columns=fuzzy_columns, threshold=fuzzy_threshold),
+        }
+    )
+    summary, failed = _made({"summary": lambda: _summary(profile.profile_totals(df), parts, audit)})
+    out = dict(parts)
+    if "quality_scores" in parts:
+        out["quality_scores"] = _as_sheet(parts["quality_scores"])
     if audit is not None:
-        makers["audit_log"] = lambda: audit
-    makers["summary"] = lambda: summary_sheet(df, audit=audit)
-    return _sections(makers, df.sparkSession)
+        out["audit_log"] = audit
+    errors = df.sparkSession.createDataFrame(errors + failed, "section string, kind string, message string")
+    return out | summary | {"errors": errors}
 
 
 def score_sheet(df: DataFrame) -> DataFrame:
     """Quality scores as ``(metric, score)``."""
-    scores = profile.quality_scores(df)
+    return _as_sheet(profile.quality_scores(df))
+
+
+def _as_sheet(scores: DataFrame) -> DataFrame:
     cells = [F.struct(F.lit(c).alias("metric"), F.col(c).alias("score")) for c in scores.columns]
     return scores.select(F.inline(F.array(*cells)))
 
 
 def summary_sheet(df: DataFrame, fuzzy: DataFrame | None = None, audit: DataFrame | None = None) -> DataFrame:
     """The ``(metric, value)`` summary; values are text, shares end in a percent sign."""
+    parts = {"quality_scores": profile.quality_scores(df), "validation": validate.validate_dataset(df)}
+    if numeric_columns(df):
+        parts["outliers"] = outliers.outlier_report(df)
+    if fuzzy is not None:
+        parts["fuzzy_duplicates"] = fuzzy
+    return _summary(profile.profile_totals(df), parts, audit)
+
+
+# The labels of the summary.
+_TOTALS = {
+    "rows": "Rows", "columns": "Columns", "total_cells": "Total Cells", "missing_cells": "Missing Cells",
+    "missing_pct": "Missing %", "duplicate_rows": "Duplicate Rows", "duplicate_pct": "Duplicate %",
+}
+_SCORES = {
+    "overall": "Overall Quality Score", "completeness": "Completeness", "consistency": "Consistency",
+    "validity": "Validity", "accuracy": "Accuracy", "uniqueness": "Uniqueness", "integrity": "Integrity",
+}
+
+
+def _summary(totals: DataFrame, parts: dict[str, DataFrame], audit: DataFrame | None) -> DataFrame:
+    """The summary of the sections there are."""
 
     def sheet(one_row: DataFrame, labels: dict[str, str], suffix: dict[str, str] | None = None) -> DataFrame:
         cells = [
@@ -102,27 +136,19 @@ def summary_sheet(df: DataFrame, fuzzy: DataFrame | None = None, audit: DataFram
         ]
         return one_row.select(F.inline(F.array(*cells)))
 
-    totals = {
-        "rows": "Rows", "columns": "Columns", "total_cells": "Total Cells", "missing_cells": "Missing Cells",
-        "missing_pct": "Missing %", "duplicate_rows": "Duplicate Rows", "duplicate_pct": "Duplicate %",
-    }
-    scores = {
-        "overall": "Overall Quality Score", "completeness": "Completeness", "consistency": "Consistency",
-        "validity": "Validity", "accuracy": "Accuracy", "uniqueness": "Uniqueness", "integrity": "Integrity",
-    }
-    out = sheet(profile.profile_totals(df), totals, {"missing_pct": "%", "duplicate_pct": "%"})
-    out = out.unionAll(sheet(profile.quality_scores(df), scores))
-    issues = validate.validate_dataset(df).agg(F.count(F.lit(1)).alias("n"))
-    out = out.unionAll(sheet(issues, {"n": "Total Validation Issues"}))
-    if numeric_columns(df):
-        flagged = outliers.outlier_report(df).agg(F.coalesce(F.sum("total_unique"), F.lit(0)).alias("n"))
+    count = F.count(F.lit(1))
+    groups = F.count_distinct("group_id")
+    out = sheet(totals, _TOTALS, {"missing_pct": "%", "duplicate_pct": "%"})
+    if "quality_scores" in parts:
+        out = out.unionAll(sheet(parts["quality_scores"], _SCORES))
+    if "validation" in parts:
+        out = out.unionAll(sheet(parts["validation"].agg(count.alias("n")), {"n": "Total Validation Issues"}))
+    if "outliers" in parts:
+        flagged = parts["outliers"].agg(F.coalesce(F.sum("total_unique"), F.lit(0)).alias("n"))
         out = out.unionAll(sheet(flagged, {"n": "Total Outliers"}))
-    if fuzzy is not None:
-        groups = fuzzy.agg(
-            F.count_distinct("group_id").alias("g"),
-            (F.count(F.lit(1)) - F.count_distinct("group_id")).alias("d"),
-        )
-        out = out.unionAll(sheet(groups, {"g": "Fuzzy Duplicate Groups", "d": "Potential Duplicates"}))
+    if "fuzzy_duplicates" in parts:
+        found = parts["fuzzy_duplicates"].agg(groups.alias("g"), (count - groups).alias("d"))
+        out = out.unionAll(sheet(found, {"g": "Fuzzy Duplicate Groups", "d": "Potential Duplicates"}))
     if audit is not None:
-        out = out.unionAll(sheet(audit.agg(F.count(F.lit(1)).alias("n")), {"n": "Audit Log Entries"}))
+        out = out.unionAll(sheet(audit.agg(count.alias("n")), {"n": "Audit Log Entries"}))
     return out

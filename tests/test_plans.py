@@ -56,6 +56,15 @@ def test_report_sections_fail_alone(spark):
     parts = report.enterprise(df, row_id="nope")
     assert "fuzzy_duplicates" not in parts and "profile" in parts
     assert [r.section for r in parts["errors"].collect()] == ["fuzzy_duplicates"]
+    near = spark.createDataFrame([(1, "aaaaaaaaaa", 1.0), (2, "aaaaaaaaab", 1.0), (3, "zzzz", 9.0)], "id int, s string, v double")
+    whole = report.enterprise(near, row_id="id", fuzzy_columns=["s"])
+    values = {r.metric: r.value for r in whole["summary"].collect()}
+    assert (values["Fuzzy Duplicate Groups"], values["Potential Duplicates"]) == ("1", "1") and whole["errors"].count() == 0
+    # a section that fails when it runs is named, and the others are there
+    broken = near.withColumn("s", F.when(F.col("id") < 9, F.col("s")).otherwise(F.raise_error(F.lit("boom"))))
+    broken = broken.withColumn("s", F.when(F.col("id") == 3, F.raise_error(F.lit("boom"))).otherwise(F.col("s")))
+    parts = report.enterprise(broken, row_id="id")
+    assert "fuzzy_duplicates" in {r.section for r in parts["errors"].collect()} and parts["errors"].columns == ["section", "kind", "message"]
     assert report.quality_score(df).first().quality_score == 100
 
 

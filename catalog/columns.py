@@ -100,6 +100,11 @@ def label_encode(spark, sf):
     return columns.label_encode(table(spark, sf, "null_orders").select("row_id", "o_orderstatus", "o_orderpriority"))
 
 
+@query("one_hot_cells", "SELECT row_id, 'o_orderstatus' AS \"column\", o_orderstatus AS value FROM null_orders WHERE o_orderstatus IS NOT NULL UNION ALL SELECT row_id, 'o_orderpriority', o_orderpriority FROM null_orders WHERE o_orderpriority IS NOT NULL")
+def one_hot_cells(spark, sf):
+    return columns.one_hot_cells(table(spark, sf, "null_orders"), "row_id", ["o_orderstatus", "o_orderpriority"])
+
+
 @query("one_hot", "SELECT row_id, coalesce(o_orderstatus = 'F', false) AS \"o_orderstatus_F\", coalesce(o_orderstatus = 'O', false) AS \"o_orderstatus_O\", coalesce(o_orderstatus = 'P', false) AS \"o_orderstatus_P\" FROM null_orders")
 def one_hot(spark, sf):
     return columns.one_hot_encode(table(spark, sf, "null_orders").select("row_id", "o_orderstatus"))

@@ -116,7 +116,10 @@ def append_in_place(spark, sf):
     return readers.read_parquet(spark, path)
 
 
-_DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+_DRIVER_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 @query("schema_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS row_count, count(*) AS columns FROM information_schema.columns WHERE table_name = '{t}'" for t in _DRIVER_TABLES))

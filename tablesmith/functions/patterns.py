@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Patterns that recognise a kind of value.
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 URL = r"(?i)^https?://[^\s]+$"
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -52,10 +53,12 @@ STREETS = {
     "pkwy": "Parkway", "hwy": "Highway", "sq": "Square", "apt": "Apt", "ste": "Ste",
     "fl": "Floor", "rm": "Room",
 }
-STATE_CODES = (
-    "al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm "
-    "ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy dc"
-).split()
+# State codes.
+STATE_CODES = [
+    "al", "ak", "az", "ar", "ca", "co", "ct", "de", "fl", "ga", "hi", "id", "il", "in", "ia", "ks", "ky",
+    "la", "me", "md", "ma", "mi", "mn", "ms", "mo", "mt", "ne", "nv", "nh", "nj", "nm", "ny", "nc", "nd",
+    "oh", "ok", "or", "pa", "ri", "sc", "sd", "tn", "tx", "ut", "vt", "va", "wa", "wv", "wi", "wy", "dc",
+]
 
 # Country and state names known to the semantic type detector.
 COUNTRY_NAMES = [

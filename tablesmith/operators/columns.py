@@ -160,13 +160,32 @@ def label_encode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return out
 
 
+def _free_name(name: str, taken: set[str]) -> str:
+    """``name``, numbered where a column of that name (whatever its case) is there; it is taken then."""
+    free, n = name, 1
+    while free.lower() in taken:
+        n += 1
+        free = f"{name}_{n}"
+    taken.add(free.lower())
+    return free
+
+
+def one_hot_cells(df: DataFrame, row_id: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The set cells of a one-hot table as ``(row_id, column, value)``: any number of values, nulls have none."""
+    chosen = [c for c in text_columns(df, columns) if c != row_id]
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in chosen])
+    none = F.array().cast("array<struct<column:string,value:string>>")
+    return df.select(col(row_id).alias("row_id"), F.inline(cells if chosen else none)).where("value IS NOT NULL")
+
+
 def one_hot_encode(
     df: DataFrame, columns: Sequence[str] | None = None, max_values: int = MAX_ONE_HOT
 ) -> DataFrame:
     """Replace each text column by one boolean column per distinct value, in value order.
 
     The output schema is data, so the distinct values are read first. More than ``max_values``
-    of them is an error: a table cannot usefully be that wide, and none may be left out.
+    of them is an error: a table cannot usefully be that wide, and none may be left out
+    (``one_hot_cells`` has no such limit). Names that differ in case only, or are taken, get a number.
     """
     out = df
     for c in text_columns(df, columns):
@@ -174,7 +193,9 @@ def one_hot_encode(
         if len(found) > max_values:
             raise ValueError(f"'{c}' has more than {max_values} distinct values; label_encode suits it better")
         values = sorted(r["v"] for r in found)
-        out = out.withColumns({f"{c}_{v}": col(c).eqNullSafe(F.lit(v)) for v in values}).drop(c)
+        taken = {n.lower() for n in out.columns}
+        named = {_free_name(f"{c}_{v}", taken): v for v in values}
+        out = out.withColumns({n: col(c).eqNullSafe(F.lit(v)) for n, v in named.items()}).drop(c)
     return out
 
 
@@ -195,9 +216,3 @@ def flatten_structs(df: DataFrame, separator: str = ".") -> DataFrame:
         return c.alias(separator.join(path))
 
     return df.select(*[reach(p) for p in leaves(df.schema.fields, [])])
-
-
-def require_text(df: DataFrame, column: str) -> None:
-    require_columns(df, [column])
-    if column not in text_columns(df):
-        raise ValueError(f"'{column}' is not a text column")

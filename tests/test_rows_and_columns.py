@@ -127,6 +127,15 @@ def test_label_codes(spark, monkeypatch):
     assert sorted(values(columns.label_encode(df), "s")) == [-1, 0, 0, 1, 2]
 
 
+def test_one_hot_names_differ_in_case(spark):
+    df = spark.createDataFrame([(1, "A"), (2, "a"), (3, None)], "id int, s string")
+    out = columns.one_hot_encode(df)
+    assert out.columns == ["id", "s_A", "s_a_2"]
+    assert [(r.s_A, r.s_a_2) for r in out.orderBy("id").collect()] == [(True, False), (False, True), (False, False)]
+    assert {tuple(r) for r in columns.one_hot_cells(df, "id").collect()} == {(1, "s", "A"), (2, "s", "a")}
+    assert columns.one_hot_cells(df.select("id"), "id").count() == 0
+
+
 def test_one_hot(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "id int, s string")
     out = columns.one_hot_encode(df)

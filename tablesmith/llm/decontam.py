@@ -25,6 +25,7 @@ from tablesmith.llm.words import hash_words, windows, word_bytes
 MIN_MATCH = 4  # tokens of a seed, and of the shortest tile
 COVERAGE = 0.5  # share of an item's tokens that tiles must cover
 FIRST_LENGTH = 20  # matches are first sought at this length
+GROUP_CHARS = 1 << 20  # text whose words are hashed at once; arrays take some forty bytes a character
 BLOOM_BITS_LOG2 = (16, 27)  # least and largest Bloom filter, the largest being 16 MB
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
 
@@ -113,7 +114,7 @@ def _seed_rows(table: DataFrame, key: str, lengths: list[int], bloom: np.ndarray
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for group in by_bytes(x.as_py() for x in batch.column(1)):
+            for group in by_bytes((x.as_py() for x in batch.column(1)), GROUP_CHARS):
                 words, bounds = hash_words([t.lower().encode() for t in group], letters_only=True)
                 of_text = np.repeat(np.arange(len(group)), np.diff(bounds))
                 for size in lengths:

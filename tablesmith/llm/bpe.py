@@ -25,9 +25,9 @@ from tablesmith.llm.common import text_of
 from tablesmith.llm.pretokens import pieces
 
 NO_RANK = np.iinfo(np.int64).max
-CACHE_PIECES = 250_000  # encoded pieces remembered by a task, twice at most
-BATCH_PIECES = 200_000  # new pieces that share a queue
-BATCH_BYTES = 16 << 20  # text taken at once
+CACHE_PIECES = 150_000  # encoded pieces remembered by a task, twice at most
+BATCH_PIECES = 60_000  # new pieces that share a queue
+BATCH_BYTES = 4 << 20  # text taken at once
 
 
 class Ranks:

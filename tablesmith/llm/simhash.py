@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import keep, row_key, text_of
+from tablesmith.llm.common import keep, one_of_each, row_key, text_of
 from tablesmith.llm.components import connected_components
 
 RADIUS = 2
@@ -165,10 +165,10 @@ def fingerprint_links(prints: DataFrame, tree_nodes: int = TREE_NODES) -> DataFr
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree_nodes: int = TREE_NODES) -> DataFrame:
-    """``key``, ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` for each row.
+    """``key``, ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` and ``root`` for each row.
 
     ``component_id`` is the least id that links of at most two differing bits reach (null if all are
-    null). Equal fingerprints are one node, so a group of copies of any size costs one row in the
+    null). Components of null ids or of one repeated id share it; ``root`` tells them apart. Equal fingerprints are one node, so a group of copies of any size costs one row in the
     search. Texts without words (null, empty, blank) have fingerprint zero and are linked like any
     other. Repeated rows get equal answers; an empty table gives an empty one.
     """
@@ -179,17 +179,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rooted = keep(rooted, "rooted")
     # written, so that both sides of the join are plain exchanges and a root of many prints can be split
     components = keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    named = rooted.join(components, "root").select("fp", "component_id")
-    return of_rows.join(named, "fp").select("key", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(components, "root").select("fp", "component_id", "root")
+    return of_rows.join(named, "fp").select("key", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component: the one with the least id, null ids last.
-
-    Among equal ids the least row key decides, and of rows repeated in full one stays.
-    """
-    groups = near_duplicate_groups(docs, id_col, text_col)
-    order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
-    best = groups.groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.key").alias("key"))
-    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))
-    return rows.join(best, "key").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+    """One row of ``docs`` for each component, chosen as in ``one_of_each``."""
+    return one_of_each(docs, near_duplicate_groups(docs, id_col, text_col), "root", id_col, text_col)

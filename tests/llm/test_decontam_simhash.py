@@ -186,3 +186,8 @@ def test_near_duplicates(docs_of):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 4, 6]
     assert simhash.near_duplicate_groups(docs_of([])).count() == 0
     assert simhash.drop_near_duplicates(docs_of([(1, "a"), (1, "a")])).count() == 1
+
+
+def test_unrelated_texts_without_id_or_under_one_id_stay(docs_of):
+    rows = [(None, "quite some words that stand alone"), (None, "and another text of its own"), (4, "here is a third one too"), (4, "which shares an id with this"), (4, "which shares an id with this")]
+    assert sorted(r.text for r in simhash.drop_near_duplicates(docs_of(rows)).collect()) == sorted({t for _, t in rows})

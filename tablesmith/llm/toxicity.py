@@ -1,10 +1,11 @@
 """Toxicity by two Kneser-Ney word models, one of toxic and one of ordinary texts.
 
-Each class has its own bigram and word counts; both back off to the counts of the two together, and
-expressions found in fewer than ``RARE`` texts of the sample take part only there, as one rare word
-or as an unseen pair: what is too rare to tell the classes apart has the same chance in either. A
-text counts an expression once, however often it repeats it, and both classes have equally many. A text is scored by the difference of its log-likelihoods per word, over the whole text and
-over its most telling stretches; a logistic curve fitted to other labelled texts makes it a score.
+Each class has its own bigram and word counts, and both back off to the counts of the two together:
+the discounts alone decide how little a rare expression says. A text counts an expression once,
+however often it repeats it, and both classes have equally many texts. A text is scored by the
+difference of its log-likelihoods per word, over the whole text and over its most telling stretches,
+and by its most telling single words; a logistic curve, fitted to each part of the labelled texts
+through models of the other parts, makes it a score.
 
 The models are fitted on a bounded sample: ``SAMPLE_DOCS`` labelled texts of each class with
 ``SAMPLE_CHARS`` characters, and ``CURVE_DOCS`` for the curve, taken in the order of a hash of their
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,12 @@ from tablesmith.llm.words import hash_words, mix
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 8_000_000
 CURVE_DOCS = 4_000
-RARE = 20  # texts
-STRETCHES = (1, 8, 32)  # words
+PARTS = 8  # of the labelled texts; the curve sees each through models of the others
+STRETCHES = (8, 32)  # words
+TELLING = (1, 3)  # words
+WIDTH = 1 + len(STRETCHES) + len(TELLING)  # features
 THRESHOLD = 0.3
-_START, _RARE = np.uint64(1), np.uint64(2)
+_START, _UNSEEN = np.uint64(1), np.uint64(2)
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -39,6 +43,10 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+def _part(id_col: str) -> Column:
+    return F.pmod(F.shiftright(F.xxhash64(id_col), 20), F.lit(PARTS)).cast("int")
+
+
 def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word of all texts the word before it (a mark at the start), itself; and the texts' bounds."""
     words, bounds = hash_words([t.lower().encode() for t in texts], letters_only=True)
@@ -70,7 +78,7 @@ def _discount(counts: np.ndarray) -> float:
 class ClassModels:
     """Tables of both classes (columns 0 ordinary, 1 toxic); the last row of ``pair_p`` is for missing pairs."""
 
-    words: np.ndarray  # hashes, sorted; rare words have one entry
+    words: np.ndarray  # hashes, sorted; words not seen have one entry
     word_p: np.ndarray  # chance of a word, discounted and backed off to the shared one
     backoff: np.ndarray  # weight of that chance after a word
     pairs: np.ndarray  # keys, sorted
@@ -82,19 +90,18 @@ class ClassModels:
 
         A word's count is over its pairs, a text with several of them counting as several.
         """
-        known, w = np.unique(words, return_inverse=True)
-        common = np.bincount(w, counts.sum(axis=1), minlength=len(known)) >= RARE
-        known = np.unique(np.append(known[common], [_START, _RARE]))
-        named = lambda x: np.where((at := _find(known, x)) < len(known), at, np.searchsorted(known, _RARE))
+        known = np.unique(np.concatenate((before, words, [_START, _UNSEEN])))
         size = len(known)
-        pair, at = np.unique(named(before) * size + named(words), return_inverse=True)
+        pair, at = np.unique(np.searchsorted(known, before) * size + np.searchsorted(known, words), return_inverse=True)
         counts = np.column_stack([np.bincount(at, counts[:, k], minlength=len(pair)) for k in (0, 1)])
         v, w = pair // size, pair % size
         after = np.column_stack([np.bincount(v, counts[:, k], minlength=size) for k in (0, 1)])
         each = np.column_stack([np.bincount(w, counts[:, k], minlength=size) for k in (0, 1)])
         shared = (each.sum(axis=1) + 0.5) / (each.sum() + 0.5 * size)
-        frequent = counts.sum(axis=1) >= RARE
-        v, w, counts = v[frequent], w[frequent], counts[frequent]
+        both, all_after = counts.sum(axis=1), np.maximum(after.sum(axis=1), 1)
+        d = _discount(both)
+        shared_pair = np.maximum(both - d, 0) / all_after[v]
+        shared_backoff = 1 - np.bincount(v, np.maximum(both - d, 0), minlength=size) / all_after
         word_p, backoff, pair_p = (np.zeros((n + 1, 2)) for n in (size, size, len(v)))
         for k in (0, 1):
             own, total = each[:, k], each[:, k].sum()
@@ -102,29 +109,35 @@ class ClassModels:
             word_p[:-1, k] = (np.maximum(own - d, 0) + d * (own > 0).sum() * shared) / total if total else shared
             d = _discount(counts[counts[:, k] > 0, k])
             taken = np.bincount(v, np.maximum(counts[:, k] - d, 0), minlength=size)
-            pair_p[:-1, k] = np.maximum(counts[:, k] - d, 0) / np.maximum(after[v, k], 1)
-            backoff[:-1, k] = 1 - taken / np.maximum(after[:, k], 1)
+            left = 1 - taken / np.maximum(after[:, k], 1)
+            pair_p[:-1, k] = np.maximum(counts[:, k] - d, 0) / np.maximum(after[v, k], 1) + left[v] * shared_pair
+            backoff[:-1, k] = left * shared_backoff
         key = _pair_key(known[v], known[w])
         order = np.argsort(key)
         pair_p[:-1] = pair_p[:-1][order]
         return ClassModels(known, word_p, backoff, key[order], pair_p)
 
-    def ratios(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Log of the chances of each word, toxic over ordinary."""
-        w, v = ((np.where((at := _find(self.words, x)) < len(self.words), at, np.searchsorted(self.words, _RARE))) for x in (words, before))
+    def ratios(self, before: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log of the chances of each word, toxic over ordinary: after the word before it, and by itself."""
+        w, v = ((np.where((at := _find(self.words, x)) < len(self.words), at, np.searchsorted(self.words, _UNSEEN))) for x in (words, before))
         p = self.pair_p[_find(self.pairs, _pair_key(self.words[v], self.words[w]))] + self.backoff[v] * self.word_p[w]
-        return np.log(p[:, 1] / p[:, 0])
+        return np.log(p[:, 1] / p[:, 0]), np.log(self.word_p[w, 1] / self.word_p[w, 0])
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Mean ratio of each text, and the largest mean over each length of stretch (shorter texts: their sum over it)."""
+        """Mean ratio of each text, the largest mean over each length of stretch (shorter texts: their sum over it),
+        and the mean of the largest ratios of so many different words by themselves."""
         before, words, bounds = _pairs(texts)
-        sums = np.concatenate(([0.0], np.cumsum(self.ratios(before, words))))
-        out = np.zeros((len(texts), 1 + len(STRETCHES)))
+        pairs, alone = self.ratios(before, words)
+        sums = np.concatenate(([0.0], np.cumsum(pairs)))
+        out = np.zeros((len(texts), WIDTH))
         for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
             if a < b:
                 out[i, 0] = (sums[b] - sums[a]) / (b - a)
                 for k, n in enumerate(STRETCHES):
                     out[i, k + 1] = ((sums[a + n : b + 1] - sums[a : b + 1 - n]).max() if b - a >= n else sums[b] - sums[a]) / n
+                once = np.sort(alone[a:b][np.unique(words[a:b], return_index=True)[1]])
+                for k, n in enumerate(TELLING):
+                    out[i, k + 1 + len(STRETCHES)] = once[-n:].sum() / n
         return out
 
 
@@ -179,12 +192,12 @@ def _pair_counts(columns: list, texts: list[str]) -> pa.RecordBatch:
     once = np.unique(np.stack((before.view(np.int64), words.view(np.int64), text)), axis=1)
     once[2] = columns[0].to_numpy()[once[2]]
     rows, counts = np.unique(once, axis=1, return_counts=True)
-    n = [np.where(rows[2] == k, counts, 0) for k in (0, 1)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[0], rows[1], *n)], names=["before", "word", "n0", "n1"])
+    n = [np.where(rows[2] == k, counts, 0) for k in range(2 * PARTS)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, rows[:2]), *(pa.array(c, pa.int16()) for c in n)], names=["before", "word", *(f"n{k}" for k in range(2 * PARTS))])
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[ClassModels, Curve]:
-    """Fit on labelled documents outside ``held_out``, half of the rest for the counts and half for the curve.
+    """Fit on labelled documents outside ``held_out``; the curve sees each part of them through models of the other parts.
 
     A document with several labels is toxic if one says so; null labels and ids are left out.
     """
@@ -193,11 +206,11 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     own = own.agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic")).where(~held_out)
     order = F.xxhash64("doc_id")
     ids = docs.select(F.col(id_col).alias("doc_id"), F.length(text_of(text_col)).alias("n"))
-    own = keep(own.join(ids, "doc_id").select("doc_id", "toxic", "n", order.alias("order"), (F.shiftright(order, 20) % 2 == 0).alias("counted")), "labelled")
+    own = keep(own.join(ids, "doc_id").select("doc_id", "toxic", "n", order.alias("order"), _part("doc_id").alias("part")), "labelled")
     chosen = []
     for toxic in (0, 1):
         room, fit = SAMPLE_CHARS, []
-        for r in own.where(F.col("counted") & (F.col("toxic") == toxic)).orderBy("order", "doc_id").limit(SAMPLE_DOCS).collect():
+        for r in own.where(F.col("toxic") == toxic).orderBy("order", "doc_id").limit(SAMPLE_DOCS).collect():
             if r["n"] <= room:
                 room -= r["n"]
                 fit.append((r["doc_id"], toxic))
@@ -206,19 +219,32 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     schema = f"doc_id {kind}, toxic int"
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     sample = texts.join(F.broadcast(docs.sparkSession.createDataFrame(picked, schema)), "doc_id")
-    counted = _scan(sample.select("toxic", "text"), "before long, word long, n0 long, n1 long", _pair_counts)
-    table = counted.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    column = lambda c: table.column(c).to_numpy()
-    models = ClassModels.fit(column("before").view(np.uint64), column("word").view(np.uint64), np.column_stack((column("n0"), column("n1"))).astype(float))
-    curve = [(r["doc_id"], r["toxic"]) for r in own.where(~F.col("counted")).orderBy("order", "doc_id").limit(CURVE_DOCS).collect()]
+    kinds = range(2 * PARTS)
+    counted = _scan(sample.select((2 * _part("doc_id") + F.col("toxic")).alias("kind"), "text"), "before long, word long, " + ", ".join(f"n{k} short" for k in kinds), _pair_counts)
+    table = counted.groupBy("before", "word").agg(*[F.sum(f"n{k}").cast("short").alias(f"n{k}") for k in kinds]).toArrow()
+    before, words = (table.column(c).to_numpy().view(np.uint64) for c in ("before", "word"))
+    counts = np.column_stack([table.column(f"n{k}").to_numpy() for k in kinds])
+    del table
+
+    def fit_without(part: int | None) -> ClassModels:
+        n = np.column_stack([counts[:, [2 * k + c for k in range(PARTS) if k != part]].sum(axis=1) for c in (0, 1)])
+        some = n.any(axis=1)
+        return ClassModels.fit(before[some], words[some], n[some].astype(float))
+
+    curve = [(r["doc_id"], r["toxic"]) for r in own.orderBy("order", "doc_id").limit(CURVE_DOCS).collect()]
     sample = texts.join(F.broadcast(docs.sparkSession.createDataFrame(curve, schema)), "doc_id")
-    rows = _features(sample.select("toxic", "text"), "toxic int", models).toArrow()
-    x = np.array(rows.column("x").to_pylist(), float).reshape(-1, 1 + len(STRETCHES))
-    return models, Curve.fit(x, rows.column("toxic").to_numpy().astype(float))
-
-
-def _features(docs: DataFrame, head: str, models: ClassModels) -> DataFrame:
-    shared, names = docs.sparkSession.sparkContext.broadcast(models), [*docs.columns[:-1], "x"]
+    x, y = [], []
+    for part in range(PARTS):  # one after the other, so that the driver holds one model
+        shared = docs.sparkSession.sparkContext.broadcast(fit_without(part))
+        rows = _features(sample.where(_part("doc_id") == part).select("toxic", "text"), "toxic int", shared).toArrow()
+        shared.destroy()
+        x += rows.column("x").to_pylist()
+        y += rows.column("toxic").to_pylist()
+    return fit_without(None), Curve.fit(np.array(x, float).reshape(-1, WIDTH), np.array(y, float))
+
+
+def _features(docs: DataFrame, head: str, shared: Broadcast) -> DataFrame:
+    names = [*docs.columns[:-1], "x"]
 
     def make(columns: list, texts: list[str]) -> pa.RecordBatch:
         x = shared.value.features(texts)

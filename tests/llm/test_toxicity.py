@@ -78,3 +78,21 @@ def test_without_labels(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in toxicity.score_documents(docs_of(["a", "b"]), none).collect()} == {0}
     assert toxicity.score_documents(docs_of([]), none).count() == 0
+
+
+def test_expressions_of_few_texts_count(spark, docs_of):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 5))) for _ in range(300)]
+    slurs = [f"slur{chr(97 + i)}" for i in range(20)]
+    docs, labels = [], []
+    for i in range(800):
+        text = [rnd.choice(words) for _ in range(rnd.randint(20, 80))]
+        if i % 5 == 0:
+            text[rnd.randrange(len(text))] = slurs[i // 5 % 20]  # each in about eight texts, six of them outside the held-out fold
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(i % 5 == 0)))
+    out = toxicity.score_documents(docs_of(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [r for r in out if r.held_out]
+    found = [r for r in held if r.doc_id % 5 == 0 and r.predicted]
+    assert len(found) > 0.8 * sum(r.doc_id % 5 == 0 for r in held)
+    assert sum(r.predicted for r in held) - len(found) < 0.05 * len(held)

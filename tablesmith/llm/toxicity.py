@@ -1,4 +1,4 @@
-"""Toxicity by two Kneser-Ney word models, one of toxic and one of ordinary texts.
+"""Toxicity by two word models with interpolated absolute discounting, one of toxic and one of ordinary texts.
 
 Each class has its own bigram and word counts, and both back off to the counts of the two together:
 the discounts alone decide how little a rare expression says. A text counts an expression once,

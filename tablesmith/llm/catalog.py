@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import bpe, chat, decontam, line_dedup, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
+from tablesmith.llm import bpe, chat, decontam, line_dedup, mixing, negatives, phrases, quality, repeats, simhash, suffix_dedup, token_counts, toxicity
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,6 +67,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.integer_vectors(_table(spark, sf_dir, "embeddings"))
+    return negatives.hard_negatives(negatives.flipped(rows))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeated_windows(docs, with_kept=False)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
@@ -78,6 +92,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 SQL = {
@@ -115,6 +132,34 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op11_hard_negatives": """
+WITH f AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+  CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.v, b.v)]) AS BIGINT) AS score FROM f a JOIN f b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 3""",
+    "op12_phrase_collocations": r"""
+WITH t AS (SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang,
+  string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]') AS pieces FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM t, unnest(pieces) AS u(piece)),
+g AS (SELECT lang, ws[i : i + k - 1] AS ids FROM w, unnest(range(1, len(ws) + 1)) AS a(i), unnest([1, 2, 3, 4, 5]) AS b(k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, ids, count(*) AS a FROM g GROUP BY lang, ids HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+c AS (SELECT * FROM f WHERE len(ids) > 1),
+x AS (SELECT lang, ids[i : i + k - 1] AS ids, max(a) AS longer FROM c, unnest(range(1, len(ids) + 1)) AS p(i), unnest([2, 3, 4]) AS q(k)
+  WHERE k < len(ids) AND i + k - 1 <= len(ids) GROUP BY lang, ids[i : i + k - 1]),
+o AS (SELECT c.* FROM c LEFT JOIN x ON c.lang = x.lang AND c.ids = x.ids WHERE x.longer IS NULL OR 100 * x.longer < 100 * c.a),
+s AS (SELECT o.lang, o.ids, o.a, l.a AS l, r.a AS r, n.n, 1000::HUGEINT * o.a * n.n // (l.a::HUGEINT * r.a) AS score, k
+  FROM o JOIN n ON o.lang = n.lang, unnest([1, 2, 3, 4]) AS q(k), f l, f r
+  WHERE k < len(o.ids) AND l.lang = o.lang AND l.ids = o.ids[1 : k] AND r.lang = o.lang AND r.ids = o.ids[k + 1 : len(o.ids)]
+  QUALIFY row_number() OVER (PARTITION BY o.lang, o.ids ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER v AS rank, array_to_string(ids, ' ') AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM s
+WINDOW v AS (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ids, ' ')) QUALIFY row_number() OVER v <= 2000""",
 }
 
 

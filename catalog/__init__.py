@@ -15,7 +15,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _GROUPS = (
     "profiles", "rows", "columns", "cleaning", "analytics", "validation", "audit",
-    "joins", "insights", "series", "sql_text", "vectors", "intents", "sources", "near_copies", "models",
+    "joins", "time_joins", "insights", "series", "sql_text", "vectors", "intents", "sources", "near_copies", "models",
 )
 
 

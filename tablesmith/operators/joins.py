@@ -65,6 +65,17 @@ def _select(
     return joined.select(*out)
 
 
+def output_names(
+    left: Sequence[str], right: Sequence[str], same_keys: set[str], suffixes: Sequence[str]
+) -> tuple[list[str], list[str | None]]:
+    """Names of both sides' columns in a result: shared ones get suffixes, the right copy of a shared key is None."""
+    if len(suffixes) != 2:
+        raise ValueError("suffixes are two texts")
+    shared = set(left) & set(right) - same_keys
+    names = lambda columns, end: [c + end if c in shared else c for c in columns]
+    return names(left, suffixes[0]), [None if c in same_keys else n for c, n in zip(right, names(right, suffixes[1]))]
+
+
 def join_summary(left: DataFrame, right: DataFrame, joined: DataFrame) -> DataFrame:
     """One row ``(left_rows, right_rows, result_rows)``."""
     tagged = [t.select(F.lit(i).alias("side")) for i, t in enumerate((left, right, joined))]

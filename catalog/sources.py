@@ -37,6 +37,35 @@ def src_csv_long_ids(spark, sf):
     return readers.read_csv(spark, path)
 
 
+@query("src_csv_multiline", "SELECT doc_id, replace(text, chr(10), chr(10) || '\"') AS text, lang, source || ',' || chr(10) AS source FROM documents")
+def src_csv_multiline(spark, sf):
+    """Line breaks, quotes and commas inside quotes, read in splits."""
+    path = scratch_path(spark, "multiline")
+    documents = table(spark, sf, "documents").selectExpr("doc_id", "replace(text, chr(10), concat(chr(10), '\"')) AS text", "lang", "concat(source, ',', chr(10)) AS source")
+    documents.coalesce(1).write.options(header=True, escape="\"", quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return readers.read_csv(spark, path, multiline=True)
+
+
+@query("src_json_array", "SELECT conv_id, turn, text || '\"}],' AS text, turn + 1 AS \"at.next\" FROM conversations")
+def src_json_array(spark, sf):
+    """One array on one line for each file, with brackets and quotes inside texts."""
+    path = scratch_path(spark, "array")
+    rows = table(spark, sf, "conversations").selectExpr("to_json(named_struct('conv_id', conv_id, 'turn', turn, 'text', concat(text, '\"}],'), 'at', named_struct('next', turn + 1))) AS value")
+
+    def bracketed(batches):
+        import pyarrow as pa
+
+        before = "["
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([before + value])], names=["value"])
+                before = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], names=["value"])
+
+    rows.mapInArrow(bracketed, "value string").write.option("lineSep", " ").text(path)
+    return readers.read_json(spark, path)
+
+
 @query("src_tsv", _WITH_GAPS)
 def src_tsv(spark, sf):
     return readers.read_tsv(spark, _delimited(spark, sf, "\t", "tsv"))

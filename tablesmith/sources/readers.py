@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Callable, Mapping
 from pathlib import PurePosixPath
 
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesmith.operators.columns import flatten_structs
-from tablesmith.types import col, nan_to_null
+from tablesmith.sources import splits
+from tablesmith.types import col, nan_to_null, q
 
 # Texts a delimited file uses for a missing value.
 MISSING_TEXTS = [
@@ -30,6 +33,8 @@ def _typed(raw: DataFrame, sample: float | None) -> DataFrame:
     Dates stay text. With ``sample`` the pass reads that share of the rows; a value outside the
     sample that does not fit its column's type becomes null.
     """
+    if not raw.columns:
+        return raw
     known = raw.select(*[F.when(~col(c).isin(MISSING_TEXTS), col(c)).alias(c) for c in raw.columns])
     looked = known.sample(fraction=sample, seed=42) if sample else known
     fits = [
@@ -69,15 +74,39 @@ def read_delimited(
     """A delimited file with a header line.
 
     A given ``schema`` saves the pass that finds the types. ``multiline`` allows line breaks inside
-    quotes, at the price that one file is read by one task.
+    quotes; such files are read in splits like others, with a pass ahead that finds where quotes are open.
     """
-    reader = spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"')
-    reader = reader.option("multiLine", multiline)
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    if multiline:
+        raw = _quoted_records(spark, path, options, schema)
+    else:
+        reader = spark.read.options(**options).option("header", True)
+        raw = (reader if schema is None else reader.schema(schema)).csv(path)
     if schema is None:
-        return nan_to_null(_typed(reader.csv(path), sample))
-    given = reader.schema(schema).csv(path)
-    texts = [f.name for f in given.schema.fields if isinstance(f.dataType, T.StringType)]
-    return nan_to_null(given.withColumns({c: F.when(~col(c).isin(MISSING_TEXTS), col(c)) for c in texts}))
+        return nan_to_null(_typed(raw, sample))
+    texts = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.StringType)]
+    return nan_to_null(raw.withColumns({c: F.when(~col(c).isin(MISSING_TEXTS), col(c)) for c in texts}))
+
+
+def _header(text: str, sep: str) -> list[str]:
+    """Column names: empty ones are numbered, repeated ones get their number."""
+    names = next(csv.reader(io.StringIO(text.removeprefix("\ufeff")), delimiter=sep), [])
+    low = [n.lower() for n in names]
+    return [f"_c{i}" if not n else n if low.count(n.lower()) == 1 else f"{n}{i}" for i, n in enumerate(names)]
+
+
+def _quoted_records(spark: SparkSession, path: str, options: dict[str, str], schema: T.StructType | str | None) -> DataFrame:
+    found = splits.records(spark, path, splits.delimited(options["sep"])).withColumn("text", F.regexp_replace("text", r"\r$", ""))
+    if schema is None:
+        head = found.where("first").select("text").first()
+        fields = T.StructType([T.StructField(n, T.StringType()) for n in (_header(head[0], options["sep"]) if head else [])])
+    else:
+        fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not fields:
+        return spark.createDataFrame([], fields)
+    ddl = ", ".join(f"{q(f.name)} {f.dataType.simpleString()}" for f in fields)
+    rows = found.where(~F.col("first")).select(F.from_csv("text", ddl, {**options, "multiLine": "true"}).alias("row"))
+    return rows.select(*[F.col("row")[f.name].alias(f.name) for f in fields])
 
 
 def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -111,20 +140,30 @@ def read_json(
 ) -> DataFrame:
     """JSON records, one per line or in one array; nested objects become dotted columns.
 
-    Which of the two is seen from the first character unless ``lines`` says so. An array is read
-    by one task per file, so large data belongs in lines.
+    Which of the two is seen from the first character unless ``lines`` says so. An array is read in
+    splits: its objects are written one a line to the shared folder and read from there. Files that hold
+    a single object are one task each.
     """
-    if lines is None:
+    if not lines:
         head = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
-        lines = bool(head) and not head[0][0].lstrip().startswith("[")
+        array = bool(head) and head[0][0].lstrip("\ufeff \t").startswith("[")
+        if array:
+            path = splits.as_lines(spark, path, splits.json_array(), "json-lines")
+        lines = array or lines is None and bool(head)
     reader = spark.read.option("multiLine", not lines)
     df = (reader.schema(schema) if schema is not None else reader).json(path)
     return nan_to_null(flatten_structs(df) if flatten else df)
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str = "row", schema: T.StructType | str | None = None) -> DataFrame:
+    """The elements named ``row_tag`` as rows.
+
+    Files are read in splits: the elements are written to the shared folder in as many files as there
+    are splits, and each of those is read by one task.
+    """
+    to = splits.as_documents(spark, path, splits.xml_rows(row_tag), f"{row_tag}-rows", "xml-rows")
     reader = spark.read.format("xml").option("rowTag", row_tag)
-    return nan_to_null((reader.schema(schema) if schema is not None else reader).load(path))
+    return nan_to_null((reader.schema(schema) if schema is not None else reader).load(to))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

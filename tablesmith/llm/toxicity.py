@@ -1,7 +1,9 @@
-"""Toxicity by two word models with interpolated absolute discounting, one of toxic and one of ordinary texts.
+"""Toxicity by two interpolated Kneser-Ney word models, one of toxic and one of ordinary texts.
 
-Each class has its own bigram and word counts, and both back off to the counts of the two together:
-the discounts alone decide how little a rare expression says. A text counts an expression once,
+Each class has its own counts of word pairs, and of how many different words come before a word
+(continuation counts). What discounting takes from a class's pairs goes to the pairs of both classes
+together, and from there to the class's continuation counts, which themselves back off to those of both:
+so the shared counts alone decide how little a rare expression says. A text counts an expression once,
 however often it repeats it, and both classes have equally many texts. A text is scored by the
 difference of its log-likelihoods per word, over the whole text and over its most telling stretches,
 and by its most telling single words; a logistic curve, fitted to each part of the labelled texts
@@ -30,7 +32,7 @@ from tablesmith.llm.words import hash_words, mix
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 8_000_000
 CURVE_DOCS = 4_000
-PARTS = 8  # of the labelled texts; the curve sees each through models of the others
+PARTS = 2  # of the labelled texts; the curve sees each through models of the others
 STRETCHES = (8, 32)  # words
 TELLING = (1, 3)  # words
 WIDTH = 1 + len(STRETCHES) + len(TELLING)  # features
@@ -86,36 +88,34 @@ class ClassModels:
 
     @staticmethod
     def fit(before: np.ndarray, words: np.ndarray, counts: np.ndarray) -> ClassModels:
-        """From distinct pairs and the number of texts (n, 2) that hold them.
+        """From distinct pairs and the number of texts (n, 2) that hold them, of which one is not zero in each row.
 
-        A word's count is over its pairs, a text with several of them counting as several.
+        Kneser-Ney: a word's own chance comes from the number of different words before it.
         """
-        known = np.unique(np.concatenate((before, words, [_START, _UNSEEN])))
+        known = np.unique(np.concatenate((np.unique(before), np.unique(words), [_START, _UNSEEN])))
         size = len(known)
-        pair, at = np.unique(np.searchsorted(known, before) * size + np.searchsorted(known, words), return_inverse=True)
-        counts = np.column_stack([np.bincount(at, counts[:, k], minlength=len(pair)) for k in (0, 1)])
-        v, w = pair // size, pair % size
-        after = np.column_stack([np.bincount(v, counts[:, k], minlength=size) for k in (0, 1)])
-        each = np.column_stack([np.bincount(w, counts[:, k], minlength=size) for k in (0, 1)])
-        shared = (each.sum(axis=1) + 0.5) / (each.sum() + 0.5 * size)
-        both, all_after = counts.sum(axis=1), np.maximum(after.sum(axis=1), 1)
-        d = _discount(both)
-        shared_pair = np.maximum(both - d, 0) / all_after[v]
-        shared_backoff = 1 - np.bincount(v, np.maximum(both - d, 0), minlength=size) / all_after
+        order = np.argsort(_pair_key(before, words))
+        v, w, counts = np.searchsorted(known, before[order]), np.searchsorted(known, words[order]), counts[order]
+        both = counts.sum(axis=1)
+        either = np.bincount(w, minlength=size)
+        shared = (either + 0.5) / (either.sum() + 0.5 * size)
+        all_after = np.maximum(np.bincount(v, both, minlength=size), 1)
+        kept = np.maximum(both - _discount(both), 0)
+        shared_pair = kept / all_after[v]
+        shared_backoff = 1 - np.bincount(v, kept, minlength=size) / all_after
+        del both, kept, either
         word_p, backoff, pair_p = (np.zeros((n + 1, 2)) for n in (size, size, len(v)))
         for k in (0, 1):
-            own, total = each[:, k], each[:, k].sum()
-            d = _discount(own[own > 0])
+            seen = counts[:, k] > 0
+            own = np.bincount(w[seen], minlength=size)  # different words before each
+            d, total = _discount(own[own > 0]), own.sum()
             word_p[:-1, k] = (np.maximum(own - d, 0) + d * (own > 0).sum() * shared) / total if total else shared
-            d = _discount(counts[counts[:, k] > 0, k])
-            taken = np.bincount(v, np.maximum(counts[:, k] - d, 0), minlength=size)
-            left = 1 - taken / np.maximum(after[:, k], 1)
-            pair_p[:-1, k] = np.maximum(counts[:, k] - d, 0) / np.maximum(after[v, k], 1) + left[v] * shared_pair
+            kept = np.maximum(counts[:, k] - _discount(counts[seen, k]), 0)
+            after = np.maximum(np.bincount(v, counts[:, k], minlength=size), 1)
+            left = 1 - np.bincount(v, kept, minlength=size) / after
+            pair_p[:-1, k] = kept / after[v] + left[v] * shared_pair
             backoff[:-1, k] = left * shared_backoff
-        key = _pair_key(known[v], known[w])
-        order = np.argsort(key)
-        pair_p[:-1] = pair_p[:-1][order]
-        return ClassModels(known, word_p, backoff, key[order], pair_p)
+        return ClassModels(known, word_p, backoff, _pair_key(known[v], known[w]), pair_p)
 
     def ratios(self, before: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log of the chances of each word, toxic over ordinary: after the word before it, and by itself."""
@@ -193,19 +193,24 @@ def _pair_counts(columns: list, texts: list[str]) -> pa.RecordBatch:
     once[2] = columns[0].to_numpy()[once[2]]
     rows, counts = np.unique(once, axis=1, return_counts=True)
     n = [np.where(rows[2] == k, counts, 0) for k in range(2 * PARTS)]
-    return pa.RecordBatch.from_arrays([*map(pa.array, rows[:2]), *(pa.array(c, pa.int16()) for c in n)], names=["before", "word", *(f"n{k}" for k in range(2 * PARTS))])
+    return pa.RecordBatch.from_arrays([*map(pa.array, rows[:2]), *(pa.array(c, pa.int64()) for c in n)], names=["before", "word", *(f"n{k}" for k in range(2 * PARTS))])
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[ClassModels, Curve]:
     """Fit on labelled documents outside ``held_out``; the curve sees each part of them through models of the other parts.
 
-    A document with several labels is toxic if one says so; null labels and ids are left out.
+    A document with several labels is toxic if one says so; null labels and ids are left out. Rows
+    repeated in full teach once, different texts of one id teach each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id"))
     own = own.agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic")).where(~held_out)
     order = F.xxhash64("doc_id")
-    ids = docs.select(F.col(id_col).alias("doc_id"), F.length(text_of(text_col)).alias("n"))
+    # rows repeated in full are one document
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    labelled = texts.join(own.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text"))
+    texts = keep(labelled.select("doc_id", "text"), "labelled-texts")
+    ids = texts.select("doc_id", F.length("text").alias("n"))
     own = keep(own.join(ids, "doc_id").select("doc_id", "toxic", "n", order.alias("order"), _part("doc_id").alias("part")), "labelled")
     chosen = []
     for toxic in (0, 1):
@@ -215,13 +220,13 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
                 room -= r["n"]
                 fit.append((r["doc_id"], toxic))
         chosen.append(fit)
-    picked = [row for pair in zip(*chosen) for row in pair]
+    # as many texts of either class: the larger class is cut to the size of the smaller
+    picked = sorted({row for pair in zip(*chosen) for row in pair})
     schema = f"doc_id {kind}, toxic int"
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     sample = texts.join(F.broadcast(docs.sparkSession.createDataFrame(picked, schema)), "doc_id")
     kinds = range(2 * PARTS)
-    counted = _scan(sample.select((2 * _part("doc_id") + F.col("toxic")).alias("kind"), "text"), "before long, word long, " + ", ".join(f"n{k} short" for k in kinds), _pair_counts)
-    table = counted.groupBy("before", "word").agg(*[F.sum(f"n{k}").cast("short").alias(f"n{k}") for k in kinds]).toArrow()
+    counted = _scan(sample.select((2 * _part("doc_id") + F.col("toxic")).alias("kind"), "text"), "before long, word long, " + ", ".join(f"n{k} long" for k in kinds), _pair_counts)
+    table = counted.groupBy("before", "word").agg(*[F.sum(f"n{k}").cast("int").alias(f"n{k}") for k in kinds]).toArrow()
     before, words = (table.column(c).to_numpy().view(np.uint64) for c in ("before", "word"))
     counts = np.column_stack([table.column(f"n{k}").to_numpy() for k in kinds])
     del table
@@ -231,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
         some = n.any(axis=1)
         return ClassModels.fit(before[some], words[some], n[some].astype(float))
 
-    curve = [(r["doc_id"], r["toxic"]) for r in own.orderBy("order", "doc_id").limit(CURVE_DOCS).collect()]
+    curve = sorted({(r["doc_id"], r["toxic"]) for r in own.orderBy("order", "doc_id").limit(CURVE_DOCS).collect()})
     sample = texts.join(F.broadcast(docs.sparkSession.createDataFrame(curve, schema)), "doc_id")
     x, y = [], []
     for part in range(PARTS):  # one after the other, so that the driver holds one model

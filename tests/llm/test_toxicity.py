@@ -22,6 +22,55 @@ def test_chances_add_up():
         assert np.allclose((seen + model.backoff[v] * model.word_p[:-1]).sum(axis=0), 1)
 
 
+def slow_kneser_ney(rows):
+    """P(w | v) of both classes from ``(v, w, ordinary, toxic)``, spelled out with dictionaries."""
+
+    def discount(counts):
+        once, twice = sum(c == 1 for c in counts), sum(c == 2 for c in counts)
+        return min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+
+    names = {v for v, *_ in rows} | {w for _, w, *_ in rows} | {1, 2}
+    pairs = [{(v, w): n[k] for v, w, *n in rows if n[k]} for k in (0, 1)]
+    both = {(v, w): sum(n) for v, w, *n in rows}
+    before = lambda table: {x: len({v for v, w in table if w == x}) for x in names}
+    spread = before(both)
+    shared = {x: (spread[x] + 0.5) / (sum(spread.values()) + 0.5 * len(names)) for x in names}
+
+    def level(table, v, w, lower):
+        after = {b: n for (a, b), n in table.items() if a == v}
+        if not after:
+            return lower
+        d = discount(list(table.values()))
+        total = sum(after.values())
+        taken = sum(max(n - d, 0) for n in after.values())
+        return max(after.get(w, 0) - d, 0) / total + (1 - taken / total) * lower
+
+    def chance(k, v, w):
+        own = before(pairs[k])
+        some = [n for n in own.values() if n]
+        word = shared[w]
+        if some:
+            word = (max(own[w] - discount(some), 0) + discount(some) * len(some) * shared[w]) / sum(some)
+        return level(pairs[k], v, w, level(both, v, w, word))
+
+    return names, chance
+
+
+@pytest.mark.parametrize("one_class", [False, True])
+def test_chances_are_kneser_ney(one_class):
+    rng = np.random.default_rng(2)
+    pairs = np.unique(rng.integers(10, 25, (90, 2)).astype(np.uint64), axis=0)
+    counts = rng.integers(0, 5, (len(pairs), 2)).astype(float)
+    counts[:, 1] *= not one_class
+    counts[counts.sum(axis=1) == 0, 0] = 1
+    model = toxicity.ClassModels.fit(pairs[:, 0], pairs[:, 1], counts)
+    names, chance = slow_kneser_ney([(int(v), int(w), *n) for (v, w), n in zip(pairs, counts)])
+    for v in names:
+        for w in names:
+            got, _ = model.ratios(np.array([v], np.uint64), np.array([w], np.uint64))
+            assert np.isclose(got[0], np.log(chance(1, v, w) / chance(0, v, w)))
+
+
 def planted(n=900):
     rnd = random.Random(3)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 5))) for _ in range(400)]
@@ -74,6 +123,16 @@ def test_held_out_labels_teach_nothing(spark, docs_of):
     assert a == b
 
 
+def test_copies_of_labelled_rows_teach_once(spark, docs_of):
+    docs, labels = planted(300)
+    taught = next(i for i, *_ in labels if i % 5 == 0 and zlib.crc32(str(i).encode()) % 4 != 2)
+    other = next(i for i, *_ in labels if i % 5 and zlib.crc32(str(i).encode()) % 4 != 2)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once = {r.doc_id: round(r.score, 6) for r in toxicity.score_documents(docs_of(docs), table).collect()}
+    many = toxicity.score_documents(docs_of(docs + [docs[taught]] * 300 + [docs[other]] * 300), table).collect()
+    assert len(many) == len(docs) + 600 and {(r.doc_id, round(r.score, 6)) for r in many} == set(once.items())
+
+
 def test_without_labels(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in toxicity.score_documents(docs_of(["a", "b"]), none).collect()} == {0}

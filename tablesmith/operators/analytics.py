@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tablesmith.operators.quantiles import grouped_median
 from tablesmith.types import categorical_columns, col, numeric_columns, require_columns
 
-# Pairs summed in one pass; a pass reads only its own columns.
+# Up to so many pairs are summed by expressions; more by products of blocks of columns.
 PAIRS_PER_PASS = 60
+COLUMN_BLOCK = 64
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
@@ -119,12 +120,77 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     centred = df.select(
         *[(col(c).cast("double") - F.lit(seen[f"c{i}"][0] or 0.0)).alias(f"v{i}") for i, c in enumerate(names)]
     )
-    place = {c: f"v{i}" for i, c in enumerate(names)}
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = _pair_sums(centred, pairs[start : start + PAIRS_PER_PASS], place, whole)
-        out = part if out is None else out.unionAll(part)
-    return out
+    if len(pairs) > PAIRS_PER_PASS:
+        return _wide_pairs(centred, names).where("x <> y")
+    return _pair_sums(centred, pairs, {c: f"v{i}" for i, c in enumerate(names)}, whole)
+
+
+def _wide_pairs(centred: DataFrame, names: list[str]) -> DataFrame:
+    """``(x, y, r)`` of all pairs (each column with itself too) in one pass, by products of column blocks.
+
+    Gaps are zeros next to a mask: the sums over rows that know both columns are products of values with
+    values, values with masks and masks with masks. Each task adds them up over all its rows; there are
+    as many tasks as the cluster runs at once, or a few times that, however long the table is. The tasks' blocks
+    are then added one after the other where they meet, so no more than one sum is held.
+    """
+    width, size = len(names), COLUMN_BLOCK
+    blocks = [(i, j) for i in range(0, width, size) for j in range(i, width, size)]
+
+    def added(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns])
+                m = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x, nan=0.0, posinf=np.inf, neginf=-np.inf)
+                q = x * x
+                whole = [m.T @ m, x.T @ m, m.T @ x, q.T @ m, m.T @ q, x.T @ x]
+                sums = whole if sums is None else [a + b for a, b in zip(sums, whole)]
+        for k, (i, j) in enumerate(blocks if sums is not None else ()):
+            own = np.stack([s[i : i + size, j : j + size] for s in sums])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()])], names=["block", "sums"])
+
+    def related(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def pairs(k: int, total: np.ndarray) -> pa.RecordBatch:
+            i, j = blocks[k]
+            n, sx, sy, sxx, syy, xy = total.reshape(6, min(size, width - i), min(size, width - j))
+            with np.errstate(all="ignore"):
+                vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+                r = (xy - sx * sy / n) / np.sqrt(vx * vy)
+            # rounding leaves a constant column a spread of about 1e-16 of its size
+            known = (n > 0) & (vx > sxx * 1e-12) & (vy > syy * 1e-12)
+            a, b = np.nonzero(np.ones_like(n))
+            later = a + i <= b + j
+            a, b = a[later], b[later]
+            cols = [pa.array([names[x] for x in (a + i).tolist()]), pa.array([names[x] for x in (b + j).tolist()])]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(np.where(a + i == b + j, 1.0, r[a, b]), mask=~known[a, b])], names=["x", "y", "r"])
+
+        now, total = None, None
+        for batch in batches:
+            for k, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(own.as_buffer(), float)
+                if k != now:
+                    if now is not None:
+                        yield pairs(now, total)
+                    now, total = k, part
+                else:
+                    total = total + part
+        if now is not None:
+            yield pairs(now, total)
+
+    tasks = 4 * centred.sparkSession.sparkContext.defaultParallelism
+    parts = centred.coalesce(tasks).mapInArrow(added, "block int, sums binary")
+    shape = lambda k: min(size, width - blocks[k][0]) * min(size, width - blocks[k][1])
+    # a table without rows has all pairs too
+    nothing = centred.sparkSession.createDataFrame([(k, bytes(48 * shape(k))) for k in range(len(blocks))], "block int, sums binary")
+    return parts.unionAll(nothing).repartition("block").sortWithinPartitions("block").mapInArrow(related, "x string, y string, r double")
 
 
 def _pair_sums(centred: DataFrame, pairs: list[tuple[str, str]], place: dict[str, str], whole: dict[str, bool]) -> DataFrame:

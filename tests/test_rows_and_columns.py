@@ -1,4 +1,7 @@
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tablesmith import session, types
 from tablesmith.operators import columns, fill, joins, ordering, rows, scale
@@ -209,6 +212,29 @@ def test_groups_drop_null_keys(spark):
         aggregate(df, "k", "v", "__class__")
 
 
+def test_correlation_of_wide_tables(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(300, 5))
+    data = base[:, rng.integers(0, 5, 140)] * rng.normal(size=140) + rng.normal(size=(300, 140)) * rng.uniform(0, 2, 140) + 1e6
+    data[:, 7] = 5.0
+    data[rng.random(data.shape) < 0.2 * (np.arange(140) % 3 == 0)] = np.nan
+    data[:, 9] = np.nan
+    names = [f"c {i}" for i in range(140)]
+    frame = pd.DataFrame(data, columns=names)
+    df = spark.createDataFrame(frame).repartition(5)
+    df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
+    got = {(r.x, r.y): r.value for r in correlation(df, digits=None).collect()}
+    assert len(got) == 140 * 140
+    assert correlation(df.limit(0)).where("value IS NULL").count() == 140 * 140
+    want = frame.corr()
+    for a in range(140):
+        for b in range(a, 140):
+            value, expected = got[names[a], names[b]], want.iloc[a, b]
+            known = not np.isnan(expected) and 7 not in (a, b)
+            assert value == got[names[b], names[a]] and (value is not None) == known
+            assert not known or abs(value - expected) < 1e-9
+
+
 def test_constant_column_has_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (3.0, 2.0)], "x double, y double")
     got = {(r.x, r.y): r.value for r in correlation(df).collect()}

@@ -208,10 +208,13 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     order = F.xxhash64("doc_id")
     # rows repeated in full are one document
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    labelled = texts.join(own.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text"))
-    texts = keep(labelled.select("doc_id", "text"), "labelled-texts")
-    ids = texts.select("doc_id", F.length("text").alias("n"))
+    ids = texts.groupBy("doc_id", F.xxhash64("text").alias("own")).agg(F.max(F.length("text")).alias("n"))
     own = keep(own.join(ids, "doc_id").select("doc_id", "toxic", "n", order.alias("order"), _part("doc_id").alias("part")), "labelled")
+
+    def those(ids: list[tuple]) -> DataFrame:
+        wanted = F.broadcast(docs.sparkSession.createDataFrame(ids, f"doc_id {kind}, toxic int"))
+        return texts.join(wanted, "doc_id").groupBy("doc_id", "toxic", F.xxhash64("text").alias("own")).agg(F.first("text").alias("text"))
+
     chosen = []
     for toxic in (0, 1):
         room, fit = SAMPLE_CHARS, []
@@ -222,8 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
         chosen.append(fit)
     # as many texts of either class: the larger class is cut to the size of the smaller
     picked = sorted({row for pair in zip(*chosen) for row in pair})
-    schema = f"doc_id {kind}, toxic int"
-    sample = texts.join(F.broadcast(docs.sparkSession.createDataFrame(picked, schema)), "doc_id")
+    sample = those(picked)
     kinds = range(2 * PARTS)
     counted = _scan(sample.select((2 * _part("doc_id") + F.col("toxic")).alias("kind"), "text"), "before long, word long, " + ", ".join(f"n{k} long" for k in kinds), _pair_counts)
     table = counted.groupBy("before", "word").agg(*[F.sum(f"n{k}").cast("int").alias(f"n{k}") for k in kinds]).toArrow()
@@ -237,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
         return ClassModels.fit(before[some], words[some], n[some].astype(float))
 
     curve = sorted({(r["doc_id"], r["toxic"]) for r in own.orderBy("order", "doc_id").limit(CURVE_DOCS).collect()})
-    sample = texts.join(F.broadcast(docs.sparkSession.createDataFrame(curve, schema)), "doc_id")
+    sample = keep(those(curve), "curve-texts")
     x, y = [], []
     for part in range(PARTS):  # one after the other, so that the driver holds one model
         shared = docs.sparkSession.sparkContext.broadcast(fit_without(part))

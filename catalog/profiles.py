@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.tables import table
-from tablesmith.plans import outliers, profile
+from tablesmith.operators.quantiles import exact_quantiles
+from tablesmith.plans import outliers, profile, sketches
+from tablesmith.session import scratch_path
 from tablesmith.operators.values import duplicate_rows, value_summary
 
 
@@ -66,6 +68,35 @@ def _text_stats_sql(table_name: str, columns: list[str]) -> str:
     )
 
 
+_APPROX = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"]
+
+
+@query("column_stats_approx", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS name, count(*) FILTER ({c} IS NULL) AS missing, CAST(min({c}) AS DOUBLE) AS \"min\", CAST(max({c}) AS DOUBLE) AS \"max\", round_even(avg({c}), 2) AS mean, round_even(stddev_samp({c}), 2) AS std, true AS unique_within, true AS median_within FROM lineitem" for c in _APPROX))
+def column_stats_approx(spark, sf):
+    """Estimates of one pass, held against exact values: within the stated bounds for each column."""
+    lines = table(spark, sf, "lineitem").select(*_APPROX)
+    around = exact_quantiles(lines, _APPROX, [0.5 - sketches.RANK_ERROR, 0.5 + sketches.RANK_ERROR])
+    within = [F.struct(F.lit(c).alias("name"), F.lit(float(around[c][0])).alias("low"), F.lit(float(around[c][1])).alias("high")) for c in _APPROX]
+    bounds = lines.agg(*[F.count_distinct(c).alias(c) for c in _APPROX]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("exact")) for c in _APPROX])))
+    ranks = spark.range(1).select(F.inline(F.array(*within)))
+    near = F.abs(F.col("unique") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact")
+    joined = profile.column_stats(lines, approx=True).join(bounds, "name").join(ranks, "name")
+    return joined.select("name", "missing", "min", "max", F.bround("mean", 2).alias("mean"), F.bround("std", 2).alias("std"), near.alias("unique_within"), F.col("median").between(F.col("low"), F.col("high")).alias("median_within"))
+
+
+@query("column_stats_store", "SELECT 'o_totalprice' AS name, count(*) FILTER (o_totalprice IS NULL) AS missing, min(o_totalprice) AS \"min\", max(o_totalprice) AS \"max\", round_even(avg(o_totalprice), 2) AS mean FROM null_orders UNION ALL SELECT 'o_orderstatus', count(*) FILTER (o_orderstatus IS NULL), NULL, NULL, NULL FROM null_orders")
+def column_stats_store(spark, sf):
+    """Sketches for each file, brought up to date after an append, merged."""
+    data, store, orders = scratch_path(spark, "sketched"), scratch_path(spark, "sketches"), table(spark, sf, "null_orders")
+    names = ["o_totalprice", "o_orderstatus"]
+    orders.where("row_id % 3 = 0").write.parquet(data)
+    sketches.update_store(spark, data, store, names)
+    orders.where("row_id % 3 <> 0").write.mode("append").parquet(data)
+    found = sketches.estimate(sketches.merge_sketches(sketches.update_store(spark, data, store, names)))
+    return found.select("name", "missing", "min", "max", F.bround("mean", 2).alias("mean"))
+
+
 @query("column_stats_text", _text_stats_sql("dirty_customer", ["name", "email", "gender", "country", "phone", "signup_date", "segment"]))
 def column_stats_text(spark, sf):
     names = ["name", "email", "gender", "country", "phone", "signup_date", "segment"]

@@ -59,4 +59,6 @@ _register("sql_correlated", "SELECT c_custkey, c_name FROM customer c WHERE EXIS
 _register("sql_scalars", "SELECT event_id, upper(event_type) AS kind, length(props) AS size, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, year(ts) AS y, month(ts) AS m, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS hour, round(sqrt(abs(value)), 6) AS root, CASE WHEN value > 10 THEN 'big' ELSE 'small' END AS band FROM events",
           "SELECT event_id, upper(event_type) AS kind, CAST(length(props) AS INTEGER) AS size, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, date_trunc('hour', ts) AS hour, round(sqrt(abs(value)), 6) AS root, CASE WHEN value > 10 THEN 'big' ELSE 'small' END AS band FROM events")
 _register("sql_approx_distinct", "SELECT approx_count_distinct(l_partkey) AS parts FROM lineitem", oracle=False)
+_register("sql_approx_distinct_bound", "SELECT o_orderpriority, abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.15 * count(DISTINCT o_custkey) AS within FROM orders GROUP BY o_orderpriority",
+          "SELECT o_orderpriority, true AS within FROM orders GROUP BY o_orderpriority")
 _register("sql_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")

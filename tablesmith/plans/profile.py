@@ -13,6 +13,7 @@ from tablesmith.operators.fill import medians
 from tablesmith.operators.quantiles import exact_quantiles
 from tablesmith.operators.stats import column_in, copies_summary, per_column, per_text
 from tablesmith.operators.values import value_summary
+from tablesmith.plans import sketches
 from tablesmith.types import (
     col,
     column_types,
@@ -32,9 +33,15 @@ def _literal_map(values: dict, kind: str) -> Column:
     return F.try_element_at(table, F.col("column")).cast(kind)
 
 
-def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """One row per column: type, missing, unique; for numbers min, max, mean, std, median; else
-    the most frequent value and its count."""
+    the most frequent value and its count.
+
+    With ``approx`` one pass makes sketches of all columns: ``unique``, ``median``, ``top`` and its count
+    are estimates within the bounds that ``sketches`` states, all else is exact.
+    """
+    if approx:
+        return sketches.estimate(sketches.sketch_columns(df, columns))
     names, kinds = select_columns(df, columns), column_types(df)
     numeric = set(numeric_columns(df, names))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.tables import table
-from tablesmith.operators import vectors
+from tablesmith.operators import knn, vectors
 
 
 def _distance(a: str, b: str) -> str:
@@ -40,6 +40,14 @@ def vector_knn_batch(spark, sf):
     return out.withColumn("distance", F.round("distance", 9))
 
 
+@query("vector_knn_join", f"SELECT query_id, id, round(d, 9) AS distance, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS place FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_distance('e.embedding', 'q.embedding')} AS d FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q)) WHERE place <= 5")
+def vector_knn_join(spark, sf):
+    """Every twentieth row asks all rows."""
+    rows = table(spark, sf, "embeddings")
+    out = knn.knn_join(rows, rows.where("vec_id % 20 = 0").select("vec_id", "embedding"), "vec_id", "embedding", "vec_id", "embedding")
+    return out.data.withColumn("distance", F.round("distance", 9))
+
+
 @query("vector_metadata", "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS VARCHAR) AS label, CAST(1 AS INTEGER) AS entries FROM embeddings")
 def vector_metadata(spark, sf):
     out = vectors.normalize_metadata(table(spark, sf, "embeddings"), "vec_id", "embedding")

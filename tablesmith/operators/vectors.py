@@ -54,14 +54,20 @@ def vector_search(
 def vector_search_batch(
     df: DataFrame, queries: Mapping[int, Sequence[float]], id_column: str, vector_column: str, top_k: int = 5
 ) -> DataFrame:
-    """``(query_id, id, distance, place)`` for a bounded batch of query vectors.
+    """``(query_id, id, distance, place)`` for a batch of query vectors.
 
-    The table is read once for all of them. Every task ranks its own rows per query first
+    Up to ``MAX_QUERIES`` vectors travel in the plan, more go as a table through ``knn.knn_join``. The
+    table is read once for all of them. Every task ranks its own rows per query first
     (Spark's window group limit), so at most ``top_k`` rows per query and task are shuffled.
     """
     require_columns(df, [id_column, vector_column])
-    if not queries or len(queries) > MAX_QUERIES:
-        raise ValueError(f"a batch holds 1..{MAX_QUERIES} query vectors")
+    if not queries:
+        raise ValueError("a batch holds at least one query vector")
+    if len(queries) > MAX_QUERIES:
+        from tablesmith.operators.knn import knn_join  # which needs this module's distance
+
+        asked = df.sparkSession.createDataFrame([(k, [float(x) for x in v]) for k, v in queries.items()], "query_id bigint, probe array<double>")
+        return knn_join(df, asked, id_column, vector_column, "query_id", "probe", top_k).data
     batch = F.array(
         *[F.struct(F.lit(k).cast("bigint").alias("query_id"), _literal(v).alias("probe")) for k, v in queries.items()]
     )

@@ -66,6 +66,8 @@ def repeated_windows(data: bytes, starts: np.ndarray) -> np.ndarray:
     between texts takes no part: names are only compared as far as the window they belong to reaches.
     """
     n = len(data)
+    if n + SIZE >= 1 << 21:
+        raise ValueError("names must fit 21 bits: sort fewer bytes at once")
     later = np.zeros(n, bool)
     if not len(starts):
         return later
@@ -183,11 +185,16 @@ def _sorted_shards(regions: DataFrame, kind: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
+        anchor, known = None, set()
         for batch in batches:
             id_kind = batch.schema.field("doc_id").type
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and row[:4] == rows[-1][:4]:  # of a row repeated in full
+                if row[0] != anchor:
+                    anchor, known = row[0], set()
+                # rows come by place: of equal regions the first is enough, the others are removed whole
+                if row[4] in known:
                     continue
+                known.add(row[4])
                 if size > SHARD_BYTES - HOT_CONTENTS * 2 * SIZE and row[0] != rows[-1][0]:
                     yield spans(rows, id_kind)
                     rows, size = [], 0

@@ -81,6 +81,22 @@ def test_documents(docs_of, hot_contents):
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
 
 
+def test_a_shard_that_names_cannot_span_is_refused():
+    with pytest.raises(ValueError):
+        suffix_dedup.repeated_windows(bytes(1 << 21), np.zeros(1, np.int64))
+
+
+def test_hot_passage_with_false_hits(docs_of, monkeypatch):
+    """A filter that lets everything through sends all copies of a passage to one anchor's task; it holds each content once."""
+    rnd = random.Random(4)
+    passage = "".join(rnd.choice("abcdef ") for _ in range(300))
+    rows = [(i, f"{i % 7} {passage} {'xyz' * (i % 3)}") for i in range(400)]
+    monkeypatch.setattr(suffix_dedup, "in_bloom", lambda words, seeds: np.ones(len(seeds), bool))
+    got = suffix_dedup.remove_repeats(docs_of(rows)).collect()
+    want = brute([(i, t.encode()) for i, t in rows])
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
+
+
 def test_small_tables(docs_of):
     assert suffix_dedup.remove_repeats(docs_of([])).count() == 0
     (row,) = suffix_dedup.remove_repeats(docs_of([None]), with_kept=False).collect()

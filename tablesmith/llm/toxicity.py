@@ -7,7 +7,7 @@ so the shared counts alone decide how little a rare expression says. A text coun
 however often it repeats it, and both classes have equally many texts. A text is scored by the
 difference of its log-likelihoods per word, over the whole text and over its most telling stretches,
 and by its most telling single words; a logistic curve, fitted to each part of the labelled texts
-through models of the other parts, makes it a score.
+through models of the other parts, makes it a score: the mean over these models.
 
 The models are fitted on a bounded sample: ``SAMPLE_DOCS`` labelled texts of each class with
 ``SAMPLE_CHARS`` characters, and ``CURVE_DOCS`` for the curve, taken in the order of a hash of their
@@ -32,7 +32,7 @@ from tablesmith.llm.words import hash_words, mix
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 8_000_000
 CURVE_DOCS = 4_000
-PARTS = 2  # of the labelled texts; the curve sees each through models of the others
+PARTS = 3  # of the labelled texts; the curve sees each through models of the others
 STRETCHES = (8, 32)  # words
 TELLING = (1, 3)  # words
 WIDTH = 1 + len(STRETCHES) + len(TELLING)  # features
@@ -123,13 +123,12 @@ class ClassModels:
         p = self.pair_p[_find(self.pairs, _pair_key(self.words[v], self.words[w]))] + self.backoff[v] * self.word_p[w]
         return np.log(p[:, 1] / p[:, 0]), np.log(self.word_p[w, 1] / self.word_p[w, 0])
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        """Mean ratio of each text, the largest mean over each length of stretch (shorter texts: their sum over it),
+    def features(self, before: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Of texts as ``_pairs`` gives them: the mean ratio, the largest mean over each length of stretch (shorter texts: their sum over it),
         and the mean of the largest ratios of so many different words by themselves."""
-        before, words, bounds = _pairs(texts)
         pairs, alone = self.ratios(before, words)
         sums = np.concatenate(([0.0], np.cumsum(pairs)))
-        out = np.zeros((len(texts), WIDTH))
+        out = np.zeros((len(bounds) - 1, WIDTH))
         for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
             if a < b:
                 out[i, 0] = (sums[b] - sums[a]) / (b - a)
@@ -196,9 +195,11 @@ def _pair_counts(columns: list, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*map(pa.array, rows[:2]), *(pa.array(c, pa.int64()) for c in n)], names=["before", "word", *(f"n{k}" for k in range(2 * PARTS))])
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[ClassModels, Curve]:
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[ClassModels], Curve]:
     """Fit on labelled documents outside ``held_out``; the curve sees each part of them through models of the other parts.
 
+    These models, one without each part, are the result: a new text looks to them as those of the curve did.
+
     A document with several labels is toxic if one says so; null labels and ids are left out. Rows
     repeated in full teach once, different texts of one id teach each.
     """
@@ -233,28 +234,29 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     counts = np.column_stack([table.column(f"n{k}").to_numpy() for k in kinds])
     del table
 
-    def fit_without(part: int | None) -> ClassModels:
+    def fit_without(part: int) -> ClassModels:
         n = np.column_stack([counts[:, [2 * k + c for k in range(PARTS) if k != part]].sum(axis=1) for c in (0, 1)])
         some = n.any(axis=1)
         return ClassModels.fit(before[some], words[some], n[some].astype(float))
 
     curve = sorted({(r["doc_id"], r["toxic"]) for r in own.orderBy("order", "doc_id").limit(CURVE_DOCS).collect()})
     sample = keep(those(curve), "curve-texts")
-    x, y = [], []
-    for part in range(PARTS):  # one after the other, so that the driver holds one model
-        shared = docs.sparkSession.sparkContext.broadcast(fit_without(part))
+    x, y, models = [], [], []
+    for part in range(PARTS):
+        models.append(fit_without(part))
+        shared = docs.sparkSession.sparkContext.broadcast(models[-1])
         rows = _features(sample.where(_part("doc_id") == part).select("toxic", "text"), "toxic int", shared).toArrow()
         shared.destroy()
         x += rows.column("x").to_pylist()
         y += rows.column("toxic").to_pylist()
-    return fit_without(None), Curve.fit(np.array(x, float).reshape(-1, WIDTH), np.array(y, float))
+    return models, Curve.fit(np.array(x, float).reshape(-1, WIDTH), np.array(y, float))
 
 
 def _features(docs: DataFrame, head: str, shared: Broadcast) -> DataFrame:
     names = [*docs.columns[:-1], "x"]
 
     def make(columns: list, texts: list[str]) -> pa.RecordBatch:
-        x = shared.value.features(texts)
+        x = shared.value.features(*_pairs(texts))
         return pa.RecordBatch.from_arrays([*columns, pa.array(x.tolist(), pa.list_(pa.float64()))], names=names)
 
     return _scan(docs, f"{head}, x array<double>", make)
@@ -272,8 +274,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out
 
     def make(columns: list, texts: list[str]) -> pa.RecordBatch:
         models, curve = shared.value
-        x = models.features(texts)
-        return pa.RecordBatch.from_arrays([*columns, pa.array(curve.scores(x)), pa.array(np.ascontiguousarray(x[:, 0]))], names=["doc_id", "held_out", "score", "ratio"])
+        pairs = _pairs(texts)
+        x = np.stack([m.features(*pairs) for m in models])
+        score = np.mean([curve.scores(own) for own in x], axis=0)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array(x[:, :, 0].mean(axis=0))], names=["doc_id", "held_out", "score", "ratio"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(id_col, folds) == held_out, F.lit(False)).alias("held_out"), text_of(text_col).alias("text"))
     scored = _scan(rows, f"doc_id {kind}, held_out boolean, score double, ratio double", make)

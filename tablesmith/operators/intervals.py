@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from tablesmith.types import col, require_columns
 RATIO = 8  # each level's bins are so many times as wide as those of the level below
 HOT_ROWS = 20_000  # left rows of a bin beyond which it is split
 POINTS = 200  # points a bin should hold where only points are joined
+SLICE_ROWS = 1_000_000  # distinct places of a slice when overlaps are only counted
 
 
 def interval_join(
@@ -95,6 +96,65 @@ def interval_join(
     return name(found)
 
 
+def count_overlaps(
+    left: DataFrame,
+    right: DataFrame,
+    left_on: str | tuple[str, str],
+    right_on: str | tuple[str, str],
+    by: Sequence[str | tuple[str, str]] = (),
+    name: str = "n",
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """``left`` with the number of right rows that ``interval_join`` would pair each row with; ends are held.
+
+    No pair is made: those that begin by an interval's end, less those that end before its start, overlap
+    it. Both numbers are running sums over the distinct places of each key, kept in slices of about
+    ``slice_rows`` places whose totals are carried along, so the work grows with the rows and not with the
+    overlaps. Rows that overlap nothing, for null ends and keys too, have 0. A column called ``name`` is replaced.
+    """
+    sides = [(on, on) if isinstance(on, str) else tuple(on) for on in (left_on, right_on)]
+    pairs = [(b, b) if isinstance(b, str) else tuple(b) for b in by]
+    require_columns(left, [*sides[0], *(a for a, _ in pairs)])
+    require_columns(right, [*sides[1], *(b for _, b in pairs)])
+    keys = [f"k{i}" for i in range(len(pairs))]
+    own = [c for c in left.columns if c != name]
+    a = left.select(*[col(n).alias(k) for (n, _), k in zip(pairs, keys)], position(left, sides[0][0]).alias("lo"), position(left, sides[0][1]).alias("hi"), F.struct(*[col(c) for c in own]).alias("row"))
+    b = right.select(*[col(n).alias(k) for (_, n), k in zip(pairs, keys)], position(right, sides[1][0]).alias("lo"), position(right, sides[1][1]).alias("hi")).where(_usable(keys, True))
+    usable = _usable(keys, True)
+    marks = [(b, "lo", 1, 0), (b, "hi", 0, 1), (a.where(usable), "lo", 0, 0), (a.where(usable), "hi", 0, 0)]
+    placed = None
+    for table, place, begins, ends in marks:
+        each = table.select(*keys, F.col(place).alias("at"), F.lit(begins).alias("begins"), F.lit(ends).alias("ends"))
+        placed = each if placed is None else placed.unionByName(each)
+    placed = durable(placed.groupBy(*keys, "at").agg(F.sum("begins").alias("begins"), F.sum("ends").alias("ends")))
+
+    sliced = placed.withColumn("slice", _slice_of(placed, slice_rows))
+    so_far = Window.partitionBy(*keys, "slice").orderBy("at")
+    upto, before = (so_far.rowsBetween(Window.unboundedPreceding, last) for last in (Window.currentRow, -1))
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy(*keys, "slice").agg(F.sum("begins").alias("begins"), F.sum("ends").alias("ends"))
+    carried = totals.select(*keys, "slice", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("begins", "ends")])
+    sums = sliced.select(*keys, "slice", "at", F.sum("begins").over(upto).alias("begun"), F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("ended"))
+    sums = sums.join(carried, [*keys, "slice"]).select(*keys, "at", (F.col("begun") + F.col("begins_before")).alias("begun"), (F.col("ended") + F.col("ends_before")).alias("ended"))
+    sums = durable(sums)
+
+    begun = sums.select(*keys, F.col("at").alias("hi"), "begun")
+    ended = sums.select(*keys, F.col("at").alias("lo"), "ended")
+    met = a.where(usable).join(begun, [*keys, "hi"]).join(ended, [*keys, "lo"]).select("row", (F.col("begun") - F.col("ended")).alias(name))
+    return met.unionAll(a.where(~usable).select("row", F.lit(0).cast("long"))).select(*[F.col("row")[c].alias(c) for c in own], name)
+
+
+def _slice_of(placed: DataFrame, slice_rows: int) -> Column:
+    """The slice of ``at``, between borders that are literals."""
+    slices = math.ceil(placed.count() / slice_rows)
+    if slices <= 1:
+        return F.lit(0)
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    at = F.col("at").cast("double")
+    borders = sorted(set(placed.agg(F.percentile_approx(at, shares, F.lit(10 * slices))).first()[0]))
+    return F.size(F.filter(F.array(*[F.lit(x) for x in borders]), lambda x: x < at))
+
+
 def _usable(keys: list[str], touching: bool) -> Column:
     """Rows whose interval holds something: no null or NaN, and an end that is not before the start."""
     ok = (F.col("lo") <= F.col("hi")) if touching else (F.col("lo") < F.col("hi"))

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from tablesmith.operators.asof import asof_join
-from tablesmith.operators.intervals import interval_join
+from tablesmith.operators.intervals import count_overlaps, interval_join
 
 
 def _sides(seed, hot):
@@ -142,3 +142,39 @@ def test_points_in_intervals_and_points_on_points(spark):
     assert interval_join(points, bands.where("lo IS NULL"), "x", ("lo", "hi"), how="left").count() == 100
     with pytest.raises(ValueError):
         interval_join(points, bands, "x", ("lo", "hi"), how="outer")
+
+
+@pytest.mark.parametrize("kind", ["int", "double"])
+def test_overlaps_are_counted_without_pairs(spark, kind):
+    rnd = random.Random(5)
+
+    def side(n):
+        rows = []
+        for i in range(n):
+            s = rnd.choice([None, *([rnd.randint(-50, 400)] * 20)])
+            e = None if s is None or rnd.random() < 0.03 else s + rnd.choice([0, 1, 1, 2, 3, 9, 40, 300, -2])
+            if kind == "double":
+                s, e = (x if x is None else x / 4 for x in (s, e))
+            if kind == "double" and rnd.random() < 0.1:
+                s, e = rnd.choice([(float("-inf"), e), (s, float("inf")), (float("nan"), e), (float("-inf"), float("inf"))])
+            rows.append((i, rnd.choice(["a", "a", "a", "b", None]), s, e))
+        return [*rows, rows[0]]
+
+    left, right = side(160), side(130)
+    a = spark.createDataFrame(left, f"id long, k string, s {kind}, e {kind}")
+    b = spark.createDataFrame(right, f"at long, key string, s {kind}, e {kind}")
+    for by in ((), [("k", "key")]):
+        agree = lambda k, q: not by or (k is not None and k == q)
+        want = sorted((i, sum(agree(k, q) and _meet((s, e), (u, v), True) for _, q, u, v in right)) for i, k, s, e in left)
+        got = count_overlaps(a, b, ("s", "e"), ("s", "e"), by, slice_rows=20)
+        assert got.columns == ["id", "k", "s", "e", "n"]
+        assert sorted((r.id, r.n) for r in got.collect()) == want and max(n for _, n in want) > 10
+    assert [r.n for r in count_overlaps(a.limit(2), b.limit(0), ("s", "e"), ("s", "e")).collect()] == [0, 0]
+    assert count_overlaps(a.limit(0), b, ("s", "e"), ("s", "e")).count() == 0
+
+
+def test_one_key_of_many_overlaps_is_counted(spark):
+    """Each of 200,000 intervals meets all others: the 40 billion pairs are never made."""
+    rows = spark.range(200_000).selectExpr("id", "id AS s", "id + 1000000 AS e")
+    got = count_overlaps(rows, rows, ("s", "e"), ("s", "e"))
+    assert got.where("n <> 200000").isEmpty() and got.count() == 200_000

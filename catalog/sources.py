@@ -42,7 +42,7 @@ def src_csv_multiline(spark, sf):
     """Line breaks, quotes and commas inside quotes, read in splits."""
     path = scratch_path(spark, "multiline")
     documents = table(spark, sf, "documents").selectExpr("doc_id", "replace(text, chr(10), concat(chr(10), '\"')) AS text", "lang", "concat(source, ',', chr(10)) AS source")
-    documents.coalesce(1).write.options(header=True, escape="\"", quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    documents.write.options(header=True, escape="\"", quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return readers.read_csv(spark, path, multiline=True)
 
 

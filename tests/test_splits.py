@@ -119,3 +119,23 @@ def test_xml_rows(tiny, tmp_path):
     assert _tasks(tiny, tmp_path, splits.xml_rows("row")) > 20
     (tmp_path / "none.xml").write_text("<rows></rows>")
     assert readers.read_xml(tiny, str(tmp_path / "none.xml"), schema="id int").count() == 0
+
+
+def test_multiline_query_writes_a_file_for_each_partition(spark, tmp_path):
+    """All rows of several files, by several tasks: none of them writes the whole table."""
+    from catalog import sources
+
+    rows = [(i, f'a, "{i}"\n\nb', "en", "src") for i in range(40)]
+    for k in range(4):
+        spark.createDataFrame(rows[10 * k : 10 * k + 10], "doc_id long, text string, lang string, source string").coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    before = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = sources.src_csv_multiline(spark, str(tmp_path))
+        files = got.inputFiles()
+        found = sorted((r.doc_id, r.text, r.lang, r.source) for r in got.collect())
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert found == [(i, t.replace("\n", '\n"'), lang, "src,\n") for i, t, lang, _ in rows]
+    assert len(files) > 1

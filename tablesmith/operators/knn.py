@@ -8,12 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesmith.operators.vectors import squared_l2
 from tablesmith.session import durable, scratch_path
 from tablesmith.types import col, require_columns
 
@@ -21,6 +21,8 @@ from tablesmith.types import col, require_columns
 SAMPLE_ROWS = 20_000
 MAX_CENTRES = 512
 PART_ROWS = 4_096  # rows of a list that meet the queries together
+PART_QUERIES = 1_024  # queries that meet such a part together
+_MAX_TASKS = 20_000
 _SLACK = 1e-6  # relative, for bounds that rounding may miss
 
 
@@ -120,6 +122,54 @@ def _probes(queries: DataFrame, centres: np.ndarray, lists: dict[int, tuple[floa
     return queries.mapInArrow(work, f"query_id {kind}, probe array<double>, {'bound double, ' if bounded else ''}list long, d double")
 
 
+def _nearest(top_k: int, bounded: bool):
+    """The ``top_k`` nearest rows of one part for each of some queries, as a function of both tables.
+
+    One product of matrices bounds all distances; those that may be among the nearest are then summed
+    component by component, as ``squared_l2`` does. ``n`` is how many rows a query was compared with.
+    """
+
+    def matrix(lists: pa.ChunkedArray) -> np.ndarray:
+        flat = lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        return flat.reshape(len(lists), -1)
+
+    def work(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        of, to, distance, n = [], [], [], []
+        if queries.num_rows and rows.num_rows:
+            rows = rows.take(pc.sort_indices(rows.column("id").combine_chunks(), null_placement="at_start"))  # ties go to the smaller id
+            p, x = matrix(queries.column("probe")), matrix(rows.column("v"))
+            size = (p**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)
+            about = size - 2 * (p @ x.T)
+            # huge components leave no bound
+            loose = np.where(np.isfinite(about), 1e-9 * size, np.inf)
+            low = np.where(np.isfinite(about), about - loose, -np.inf)
+            high = np.where(np.isfinite(about), about + loose, np.inf)
+            live = np.ones(about.shape, bool)
+            if bounded:
+                d, r = queries.column("d").to_numpy()[:, None].astype(float), rows.column("r").to_numpy()
+                bound = queries.column("bound").to_numpy()[:, None].astype(float)
+                gap = np.abs(d - r) - _SLACK * (d + r)
+                live = np.isnan(d) | np.isnan(bound) | (gap <= bound)
+            low, high = np.where(live, low, np.inf), np.where(live, high, np.inf)
+            k = min(top_k, x.shape[0]) - 1
+            reach = np.partition(high, k, axis=1)[:, k]
+            for i in range(len(p)):
+                at = np.flatnonzero(live[i] & (low[i] <= reach[i]))
+                exact = np.zeros(len(at))
+                for j in range(p.shape[1]):
+                    gaps = x[at, j] - p[i, j]
+                    exact += gaps * gaps
+                best = np.argsort(exact, kind="stable")[:top_k]
+                of += [i] * len(best)
+                to += at[best].tolist()
+                distance += exact[best].tolist()
+                n += [int(live[i].sum())] * min(len(best), 1) + [0] * (len(best) - 1)
+        cols = [queries.column("query_id").take(pa.array(of, pa.int64())), rows.column("id").take(pa.array(to, pa.int64()))]
+        return pa.table([*cols, pa.array(distance, pa.float64()), pa.array(n, pa.int64())], names=["query_id", "id", "distance", "n"])
+
+    return work
+
+
 def _best(found: DataFrame, top_k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k)
@@ -156,21 +206,28 @@ def knn_join(rows: DataFrame, queries: DataFrame, id_column: str, vector_column:
     parts = spark.createDataFrame([(k, max(1, -(-m // PART_ROWS))) for k, (_, m) in lists.items()], "list long, parts int")
     dealt = listed.join(F.broadcast(parts), "list").withColumn("part", F.pmod("salt", "parts").cast("int"))
 
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {table.schema['id'].dataType.simpleString()}, distance double, n long"
+
     def met(probes: DataFrame) -> DataFrame:
-        each = probes.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        pairs = each.drop("parts").join(dealt.drop("parts", "salt"), ["list", "part"])
-        if "bound" in probes.columns:
-            gap = F.abs(F.col("d") - F.col("r")) - _SLACK * (F.col("d") + F.col("r"))
-            pairs = pairs.where(F.col("d").isNull() | F.col("bound").isNull() | (gap <= F.col("bound")))
-        return pairs.select("query_id", "id", squared_l2(F.col("v"), F.col("probe")).alias("distance"))
+        probes = durable(probes)
+        asks = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}  # a row for each list
+        chunks = spark.createDataFrame([(k, -(-m // PART_QUERIES)) for k, m in asks.items()], "list long, chunks int")
+        tasks = sum(m * lists[k][1] for k, m in asks.items()) / (PART_ROWS * PART_QUERIES)
+        tasks = min(max(math.ceil(tasks), spark.sparkContext.defaultParallelism), _MAX_TASKS)
+        each = probes.join(F.broadcast(parts), "list").join(F.broadcast(chunks), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        each = each.withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int")).drop("parts", "chunks")
+        held = dealt.drop("parts", "salt").join(F.broadcast(chunks), "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        # a part is small in bytes and long in work: keep the tasks from being merged by size
+        sides = [t.repartition(tasks, "list", "part", "chunk").groupBy("list", "part", "chunk") for t in (each, held)]
+        return sides[0].cogroup(sides[1]).applyInArrow(_nearest(top_k, "bound" in probes.columns), kinds)
 
     near = durable(met(_probes(asked, centres, lists, top_k)))
     first = durable(_best(near, top_k))
     kth = first.where(F.col("place") == top_k).select("query_id", F.sqrt("distance").alias("bound"))
     bounded = asked.join(kth, "query_id", "left").select("query_id", "probe", "bound")
     far = durable(met(_probes(bounded, centres, lists, top_k)))
-    data = _best(first.drop("place").unionByName(far), top_k)
-    work = near.unionAll(far).agg(F.count(F.lit(1)).alias("compared"))
+    data = _best(first.drop("place").unionByName(far), top_k).drop("n")
+    work = near.unionAll(far).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"))
     every = asked.groupBy(F.size("probe").alias("size")).count().join(table.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("rows")), "size")
     every = every.agg(F.coalesce(F.sum(F.col("count") * F.col("rows")), F.lit(0)).alias("pairs"))
     summary = work.crossJoin(every).select("pairs", "compared", F.when(F.col("pairs") > 0, 1 - F.col("compared") / F.col("pairs")).alias("skipped_share"))

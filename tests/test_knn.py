@@ -45,3 +45,24 @@ def test_small_tables_and_large_batches(spark):
     assert got.where(F.col("id") == F.col("query_id") % 3).count() == 1_500
     with pytest.raises(ValueError):
         knn.knn_join(table, table, "id", "v", "id", "v", 0)
+
+
+def test_a_task_hands_on_the_nearest_only(spark, monkeypatch):
+    """Of the pairs compared at most ``top_k`` a query and part are written, and queries are cut into chunks."""
+    written = []
+    durable = knn.durable
+
+    def seen(df):
+        out = durable(df)
+        if "distance" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(knn, "durable", seen)
+    monkeypatch.setattr(knn, "PART_QUERIES", 7)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-9, 9, 6).astype(float).tolist()) for i in range(300)]
+    table = spark.createDataFrame(rows, "id long, v array<double>")
+    found = knn.knn_join(table, table, "id", "v", "id", "v", 2)
+    assert {(r.query_id, r.id, r.place) for r in found.data.collect()} == brute(rows, rows, 2)
+    assert sum(written) < found.summary.first().compared / 2

@@ -33,12 +33,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def regions(data: bytes, ends: np.ndarray, size: int = 100) -> dict[str, np.ndarray]:
-    """The regions of texts laid end to end: ``text``, ``start`` (in its text), ``length``, ``anchor``, ``content`` (hash)."""
+    """The regions of texts laid end to end: ``text``, ``start`` and ``place`` of the anchor (in its text), ``length``, ``anchor``, ``content`` (hash)."""
     b = np.frombuffer(data, np.uint8)
     n = len(b)
     none = np.zeros(0, np.int64)
     if n < size:
-        return {"text": none, "start": none, "length": none, "anchor": none.astype(np.uint64), "content": none.astype(np.uint64)}
+        return {"text": none, "start": none, "place": none, "length": none, "anchor": none.astype(np.uint64), "content": none.astype(np.uint64)}
     x = b.astype(np.uint64)
     for width in (1, 2, 4):
         x = x[:-width] | x[width:] << np.uint64(8 * width)
@@ -68,7 +68,8 @@ def regions(data: bytes, ends: np.ndarray, size: int = 100) -> dict[str, np.ndar
     np.cumsum(h * power[:grams], out=sums[1:])
     content = mix((sums[first + length - GRAM + 1] - sums[first]) * inverse[first]) + length.astype(np.uint64)
     of = text[first]
-    return {"text": of, "start": first - (ends - np.diff(ends, prepend=0))[of], "length": length, "anchor": h[place[first]], "content": content}
+    begin = (ends - np.diff(ends, prepend=0))[of]
+    return {"text": of, "start": first - begin, "place": place[first] - begin, "length": length, "anchor": h[place[first]], "content": content}
 
 
 def grouped(texts: list[bytes], limit: int = GROUP_BYTES) -> Iterator[tuple[int, bytes, np.ndarray]]:

@@ -101,3 +101,28 @@ def test_small_tables(docs_of):
     assert suffix_dedup.remove_repeats(docs_of([])).count() == 0
     (row,) = suffix_dedup.remove_repeats(docs_of([None]), with_kept=False).collect()
     assert (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) == (0, 0, 0, hashlib.sha256(b"").hexdigest())
+
+
+@pytest.mark.parametrize("hot_contents", [4096, 1])
+def test_rows_of_one_id_are_judged_by_place(docs_of, hot_contents):
+    rnd = random.Random(7)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    base = text(600)
+    cut = lambda: base[(a := rnd.randint(0, 300)) : a + rnd.randint(100, 300)]
+    rows = [(rnd.choice([None, 1, 1, 2, 3]), text(rnd.randint(0, 60)) + cut() + text(rnd.randint(0, 60))) for _ in range(60)]
+    rows += [(2, base), (2, base), (2, base[:300] + text(50)), (1, "a" * 260), (1, "a" * 150), (3, "ab" * 120), (3, "ba" * 120)]
+    first: dict[bytes, tuple] = {}
+    for i, t in rows:
+        for s in range(len(t) - 99):
+            at = (i is not None, i or 0, s)
+            first[t[s : s + 100]] = min(first.get(t[s : s + 100], at), at)
+    want = []
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for s in range(len(t) - 99):
+            if first[t[s : s + 100]] < (i is not None, i or 0, s):
+                gone[s : s + 100] = True
+        kept = "".join(c for c, g in zip(t, gone) if not g)
+        want.append((i or 0, len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept.encode()).hexdigest()))
+    got = suffix_dedup.remove_repeats(docs_of(rows), hot_contents=hot_contents).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)

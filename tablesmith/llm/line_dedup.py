@@ -11,14 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.binding import let
-from tablesmith.llm.common import BLANK_CLASS, hash128, keep, lower_ascii, row_key, text_of
-
-_EDGES = f"^{BLANK_CLASS}+|{BLANK_CLASS}+$"
+from tablesmith.llm.common import BLANKS, hash128, keep, lower_ascii, row_key, text_of
 
 
 def line_key(line: Column) -> Column:
     """The line without blanks at its ends, A-Z in lower case."""
-    return lower_ascii(F.regexp_replace(line, _EDGES, ""))
+    return lower_ascii(F.btrim(line, F.lit(BLANKS)))
 
 
 def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -46,6 +46,14 @@ def brute_repeats(words):
     return len({j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)})
 
 
+def test_only_blanks_are_stripped_off_lines(docs_of):
+    """A blank before a line separator that is no blank belongs to the line."""
+    rows = [f"own {i}\n\v Same \x0c\r" for i in range(10)] + ["edge \u2028"] * 5 + ["edge\u2028"] * 5 + ["tail \x85"] * 5 + ["tail\x85"] * 5
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_common_lines(docs_of(rows), 10).collect()}
+    assert [got[i] for i in range(10)] == [(f"own {i}", 1) for i in range(10)]
+    assert [got[i] for i in range(10, 30)] == [(t, 0) for t in rows[10:]]
+
+
 def test_measures(docs_of):
     rnd = random.Random(4)
     texts = [" ".join(rnd.choice("ab") for _ in range(rnd.randint(0, 30))) for _ in range(40)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -34,6 +35,7 @@ MISSING_CATEGORY = "__missing__"
 # StringIndexer keeps its labels on the driver.
 MAX_CATEGORIES = 10_000
 MIN_ROWS = 5
+_STARTS_AT_ONCE = 5
 MODELS = {
     "linear_regression": (REGRESSION, lambda: LinearRegression()),
     "logistic_regression": (CLASSIFICATION, lambda: LogisticRegression()),
@@ -223,7 +225,13 @@ def cluster(df: DataFrame, features: Sequence[str] | None = None, n_clusters: in
         rows = ready.count()
         if rows < n_clusters:
             raise ValueError(f"clustering needs at least {n_clusters} complete rows")
-        fits = [KMeans(k=n_clusters, seed=42 + i, featuresCol="features").fit(ready) for i in range(n_init)]
+
+        def fit(i: int):
+            return KMeans(k=n_clusters, seed=42 + i, featuresCol="features").fit(ready)
+
+        # a start is many short jobs over few partitions: several at once keep the cluster busy
+        with ThreadPoolExecutor(_STARTS_AT_ONCE) as pool:
+            fits = list(pool.map(fit, range(n_init)))
         best = min(fits, key=lambda m: m.summary.trainingCost)
         labelled = best.transform(ready)
         silhouette = None

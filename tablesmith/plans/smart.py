@@ -15,7 +15,7 @@ from tablesmith.operators.ordering import add_row_id, fill_along, is_generated
 from tablesmith.operators.quantiles import exact_quantiles, median_absolute_deviation
 from tablesmith.operators.values import mode_literal, modes
 from tablesmith.plans.audit import LOG, Audited, cells_changed, entry
-from tablesmith.session import first_row, stored
+from tablesmith.session import first_row, spread, stored
 from tablesmith.types import BOOLEAN, DATETIME, STRING, col, column_types, named_like, numeric_columns, text_columns
 
 MAX_DELETION_PCT = 5.0
@@ -285,7 +285,7 @@ def smart_clean(
 ) -> SmartResult:
     """Run the audited steps in their fixed order (or a subset of steps and columns).
 
-    Steps 1 to 9 are one projection. Steps 10 to 13 each measure the table before they act, so the
+    Steps 1 to 9 are one projection, over as many partitions as tasks run at once. Steps 10 to 13 each measure the table before they act, so the
     cleaned rows are written once, as Parquet in the shared folder, and measured there column by
     column; ``materialize=False`` recomputes them for each measure instead. A halt skips the two
     removing steps.
@@ -296,7 +296,7 @@ def smart_clean(
     if row_id is None:
         row_id = "row_id"
         df = add_row_id(df, row_id)
-    t = Audited.start(df, row_id)
+    t = Audited.start(spread(df), row_id)
     wanted = [s for s in STEPS if steps is None or s in steps]
     for s in wanted:
         if s not in ROW_LOCAL and materialize:

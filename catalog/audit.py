@@ -11,6 +11,7 @@ from tablesmith.operators.ordering import mark_row_id
 from tablesmith.operators.values import duplicate_rows
 from tablesmith.plans import audit, smart
 from tablesmith.plans.audit import Audited
+from tablesmith.session import spread
 
 _RECORD = ["row_id", "column", "old_value", "new_value", "method", "confidence"]
 
@@ -252,19 +253,19 @@ SELECT row_id, {_words_raised("name0")} AS name, CASE lower(gender0) WHEN 'm' TH
  coalesce({_DAY}, signup_date) AS signup_date, CASE WHEN regexp_matches(website, '^https?://') THEN website ELSE 'https://' || website END AS website FROM g""")
 def smart_clean_rowlocal(spark, sf):
     view = table(spark, sf, "dirty_customer")
-    cleaned = smart.smart_clean(view, "row_id", steps=smart.ROW_LOCAL).data
+    cleaned = smart.smart_clean(spread(view), "row_id", steps=smart.ROW_LOCAL).data
     return cleaned.select("row_id", "name", "gender", "country", "email", "phone", "address", "signup_date", "website")
 
 
 @query("smart_clean_pipeline")
 def smart_clean_pipeline(spark, sf):
-    return smart.smart_clean(table(spark, sf, "dirty_customer"), "row_id").data
+    return smart.smart_clean(spread(table(spark, sf, "dirty_customer")), "row_id").data
 
 
 @query("smart_clean_summary", "SELECT count(*) AS rows_before, count(*) AS rows_after, false AS halted, '' AS halt_reason FROM null_orders")
 def smart_clean_summary(spark, sf):
     view = table(spark, sf, "null_orders").withColumn("order_key", F.col("row_id"))
-    return smart.smart_clean(view, "row_id").summary.drop("cells_changed")
+    return smart.smart_clean(spread(view), "row_id").summary.drop("cells_changed")
 
 
 @query("smart_clean_dry_run", "SELECT 'median_imputation' AS method, count(*) FILTER (o_totalprice IS NULL) AS n FROM null_orders")

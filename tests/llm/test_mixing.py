@@ -98,3 +98,61 @@ def test_small_tables(docs_of):
     assert mixing.score_documents(docs_of([])).count() == 0
     (row,) = mixing.score_documents(docs_of([None])).collect()
     assert row.n_tokens == 1 and row.score < 0
+
+
+def test_every_training_document_teaches_tables_weights_and_map(spark, docs_of):
+    """The model is that of all texts: its counts, and as many lessons as there are decisions."""
+    texts = [t or "" for i, t in corpus() if i is not None and i < 1000]
+    words, n = np.unique(mixing.spelled_words([t.encode().lower() for t in texts])[0], return_counts=True)
+    code = mixing.Code.make(words[n > 2], n[n > 2], len(texts), int(n[n < 3].sum()))
+    made = mixing._model(docs_of(texts).coalesce(1).select("text"), code)
+    total = np.zeros((2 * mixing.TABLES, 1 << mixing.TABLE_LOG2, 2), np.int64)
+    bits = 0
+    for d in mixing.Texts(code, [t.encode() for t in texts]).all_decisions():
+        for k, slot in enumerate(d.slots):
+            np.add.at(total[d.first_table + k], (slot, d.bit.astype(int)), 1)
+        bits += len(d.bit)
+    assert (made.tables == mixing._odds(total)).all()
+    counts = mixing.Counts(code)
+    for group in mixing._growing(iter(texts)):
+        counts.add([t.encode() for t in group])
+    assert counts.n == counts.lessons.seen.sum() == bits
+    again = mixing.Lessons.model(code, made.tables, counts.lessons.sums())
+    assert np.array_equal(made.weights, again.weights) and np.array_equal(made.refined, again.refined)
+
+
+def test_weights_of_tasks_are_averaged_by_use():
+    code = mixing.Code.make(np.arange(1, 4, dtype=np.uint64), np.array([5, 4, 3]), 2, 2)
+    one, two = mixing.Lessons(), mixing.Lessons()
+    one.weights[0], two.weights[0], one.seen[0], two.seen[1] = 1, 2, 30, 10
+    made = mixing.Lessons.model(code, np.zeros((0, 0), np.int8), one.sums() + two.sums())
+    assert made.weights[0] == pytest.approx(1.25) and (made.weights[1:] == mixing.Lessons().weights[1:]).all()
+
+
+def test_score_is_brute_force():
+    """Decision by decision, from the code, tables, weights and map alone."""
+    texts = [t or "" for i, t in corpus() if i is not None and i < 1000][:50] + ["the xyzzy the", ""]
+    words, n = np.unique(mixing.spelled_words([t.encode().lower() for t in texts])[0], return_counts=True)
+    code = mixing.Code.make(words[n > 2], n[n > 2], len(texts), int(n[n < 3].sum()))
+    counts = mixing.Counts(code)
+    for group in mixing._growing(iter(texts)):
+        counts.add([t.encode() for t in group])
+    model = mixing.Lessons.model(code, np.stack([mixing._odds(x) for x in counts.total]), counts.lessons.sums())
+    got = model.scores([t.encode() for t in texts])[1]
+    for t, score in zip(texts, got):
+        total = 0.0
+        for d in mixing.Texts(code, [t.encode()]).all_decisions():
+            own = np.zeros(4)
+            for a in range(0, len(d.bit), mixing.BLOCK):
+                step = np.zeros(4)
+                for i in range(a, min(a + mixing.BLOCK, len(d.bit))):
+                    entries = [int(model.tables[d.first_table + k][slot[i]]) for k, slot in enumerate(d.slots)]
+                    x = np.array([0.3 if d.exact is None else d.exact[i], *(e / 16 for e in entries)])
+                    gate = int(d.gate[i]) + sum(abs(entries[-1]) > 16 * least for least in (0.5, 1.5, 3))
+                    z = np.clip(np.clip(model.weights[gate] @ x, -20, 20) + own @ x, -20, 20)
+                    p = min(max(1 / (1 + math.exp(-z)), 1e-5), 1 - 1e-5)
+                    step += (d.bit[i] - p) * x
+                    p = (p + model.refined[gate * 33 + round(min(max(z, -8), 8) * 2) + 16]) / 2
+                    total += math.log10(p if d.bit[i] else 1 - p)
+                own += mixing.OWN_RATE / mixing.BLOCK * step
+        assert score == pytest.approx(total, rel=1e-3)

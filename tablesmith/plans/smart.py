@@ -15,7 +15,7 @@ from tablesmith.operators.ordering import add_row_id, fill_along, is_generated
 from tablesmith.operators.quantiles import exact_quantiles, median_absolute_deviation
 from tablesmith.operators.values import mode_literal, modes
 from tablesmith.plans.audit import LOG, Audited, cells_changed, entry
-from tablesmith.session import first_row, stored
+from tablesmith.session import first_row, spread, stored
 from tablesmith.types import BOOLEAN, DATETIME, STRING, col, column_types, named_like, numeric_columns, text_columns
 
 MAX_DELETION_PCT = 5.0
@@ -202,12 +202,14 @@ def remove_exact_duplicates(t: Audited, max_deletion_pct: float = MAX_DELETION_P
     """Keep the first of identical rows, unless more than 5 % of the rows would go: then halt.
 
     The copies are combined before the shuffle, and rows are removed by their unique id, so a
-    row repeated by a third of the table meets no hot key. An id that is data of the caller's table
-    is compared like any column; only one that ``add_row_id`` made or ``mark_row_id`` marked is not.
+    row repeated by a third of the table meets no hot key. They are dealt out by their id before, as
+    the copies of a file read by one task would fill that task's memory. An id that is data of the
+    caller's table is compared like any column; only one that ``add_row_id`` made or ``mark_row_id`` marked is not.
     """
     compared = t.columns if is_generated(t.frame, t.row_id) else [t.row_id, *t.columns]
     keep_id = F.min(col(t.row_id)).alias("__first")
-    first = t.frame.groupBy(*[col(c) for c in compared]).agg(
+    dealt = spread(t.frame.select(*[col(c) for c in dict.fromkeys([t.row_id, *compared])]), t.row_id)
+    first = dealt.groupBy(*[col(c) for c in compared]).agg(
         keep_id, F.count(F.lit(1)).alias("__copies")
     )
     counted = first.agg(F.coalesce(F.sum("__copies"), F.lit(0)), F.count(F.lit(1))).first()

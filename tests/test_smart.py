@@ -185,3 +185,19 @@ def test_streams_take_row_local_work_only(spark, tmp_path):
             clean.clean_stream(stream, bad)
     with pytest.raises(ValueError):
         clean.audited_stream(stream, "id", ["impute_missing"])
+
+
+def test_copies_of_one_file_are_dealt_out_before_they_are_combined(spark, monkeypatch):
+    sizes = []
+
+    def dealt(df, *keys, deal=smart.spread):
+        out = deal(df, *keys)
+        sizes.extend(n for n in out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+        return out
+
+    monkeypatch.setattr(smart, "spread", dealt)
+    one_file = spark.range(4000).coalesce(1).selectExpr("id % 3900 AS a", "'x' AS b")
+    t = smart.remove_exact_duplicates(smart.Audited.start(smart.add_row_id(one_file), "row_id"))
+    assert t.data.count() == 3900 and t.audit.count() == 100
+    assert sorted(r.row_id for r in t.audit.collect()) == list(range(3900, 4000))
+    assert sum(sizes) == 4000 and max(sizes) < 4000 / 2

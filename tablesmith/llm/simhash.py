@@ -9,7 +9,7 @@ broadcast whole. Shards over a bound go another exact way, see ``_linked_by_cent
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,7 +37,11 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     starts = [0, *(ends[:-1] + 1).tolist()]
     ends = ends[width - 1 :].tolist() or [len(line)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(ends))
+    return majority(np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(ends)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have set; 0 without hashes."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
         bits = np.unpackbits(hashes[i : i + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -154,7 +158,7 @@ def _linked_by_centres(prints: DataFrame) -> DataFrame:
     return groups.select(F.explode("members").alias("a"), "b").where("a <> b").distinct()
 
 
-def fingerprint_links(prints: DataFrame, tree_nodes: int = TREE_NODES) -> DataFrame:
+def fingerprint_links(prints: DataFrame, tree_nodes: int = TREE_NODES, keep: Callable[[DataFrame, str], DataFrame] = keep) -> DataFrame:
     """Pairs (``a``, ``b``) that connect the same distinct fingerprints ``fp`` as all pairs within the radius."""
     shards = _shards(prints)
     sizes = shards.groupBy("shard").count().where("count > 1")

@@ -6,9 +6,11 @@ candidates, and every candidate that sizes and places don't rule out is compared
 order finds all pairs; here it is by how many documents of a sample share a shingle, the rarest first,
 and then by hash, so that boilerplate hardly ever is among the first ones of a set that has more than it.
 
-Only which documents are connected matters: a first round compares each document with one other under
-its few shingles of least hash, and the second skips pairs that are connected by then, so a group of
-near copies costs about one row a member and shingle.
+Only which documents are connected matters: a first round compares documents whose SimHash fingerprints
+of the same shingles are linked in BK-trees, and each document with one other under its few shingles of
+least hash; the second skips pairs that are connected by then, so a group of near copies costs about one
+row a member and shingle. Fingerprints propose pairs, the sets decide, and the second round finds what
+fingerprints miss: pairs of similarity 0.8 mostly differ in more bits than the trees' radius.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from tablesmith.llm.bpe import by_bytes
 from tablesmith.llm.common import one_of_each, row_key, text_of
 from tablesmith.llm.components import connected_components
 from tablesmith.llm.decontam import bloom_filter, in_bloom
+from tablesmith.llm.simhash import fingerprint_links, majority
 from tablesmith.llm.words import hash_words, mix, windows
 from tablesmith.session import scratch_tables, stored
 
@@ -82,7 +85,7 @@ def _grades(common: list[np.ndarray], shingles: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str, common: list[np.ndarray]) -> DataFrame:
-    """``key``, ``doc_id``, ``node`` (128-bit hash of the set), ``n`` (its size), ``least`` (its least hashes) and ``prefix`` for each row."""
+    """``key``, ``doc_id``, ``node`` (128-bit hash of the set), ``n`` (its size), ``fp`` (its fingerprint), ``least`` (its least hashes) and ``prefix`` for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -100,13 +103,14 @@ def _signed(docs: DataFrame, width: int, similarity: float, id_col: str, text_co
                     prefix.append(s[np.argsort(g, kind="stable")[:n]])
                 node = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 size = pa.array([len(s) for s in sets], pa.int32())
+                prints = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
                 head = [batch.column(i).slice(at, len(group)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*head, node, size, lists([s[:_FIRST] for s in sets]), lists(prefix)], names=["key", "doc_id", "node", "n", "least", "prefix"])
+                yield pa.RecordBatch.from_arrays([*head, node, size, prints, lists([s[:_FIRST] for s in sets]), lists(prefix)], names=["key", "doc_id", "node", "n", "fp", "least", "prefix"])
                 at += len(group)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(work, f"key struct<a:long,b:long>, doc_id {kind}, node binary, n int, least array<long>, prefix array<long>")
+    return rows.mapInArrow(work, f"key struct<a:long,b:long>, doc_id {kind}, node binary, n int, fp long, least array<long>, prefix array<long>")
 
 
 def _shared_shingles(sets: DataFrame, keep) -> DataFrame:
@@ -160,6 +164,15 @@ def _alike(pairs: DataFrame, of_rows: DataFrame, docs: DataFrame, width: int, si
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
+def _near_prints(sets: DataFrame, keep) -> DataFrame:
+    """Pairs (``a``, ``b``) of ids: sets of one fingerprint with the first of them, and the first ones of linked fingerprints."""
+    first = keep(sets.groupBy("fp").agg(F.min("id").alias("a")), "fingerprints")
+    links = fingerprint_links(first.select("fp"), keep=keep).distinct()
+    of_a, of_b = first.select(F.col("fp").alias("a"), F.col("a").alias("x")), first.select(F.col("fp").alias("b"), F.col("a").alias("y"))
+    linked = links.join(of_a, "a").join(of_b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return sets.join(first, "fp").where("a <> id").select("a", F.col("id").alias("b")).unionAll(linked)
+
+
 def similar_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key``, ``doc_id`` and ``root`` for each row: rows have one root exactly when similar pairs connect them.
 
@@ -182,6 +195,7 @@ def _groups(docs: DataFrame, width: int, similarity: float, id_col: str, text_co
     lead = few.groupBy("shingle").agg(F.min("id").alias("a"))
     near = few.join(lead, "shingle").where("a <> id").groupBy("a", F.col("id").alias("b"), "n").agg(F.count(F.lit(1)).alias("c"))
     near = near.where(2 * F.col("c") >= F.least(F.lit(_FIRST), F.col("n")))
+    near = near.select("a", "b").unionAll(_near_prints(sets, keep)).distinct()
     links = keep(_alike(near, of_rows, rows, width, similarity, keep), "first-links")
 
     shared = keep(_shared_shingles(sets.select("id", "n", "prefix"), keep), "shared-shingles")

@@ -87,6 +87,26 @@ def test_shared_footer_makes_no_pairs(spark, docs_of, monkeypatch):
     assert sum(compared) < 3 * len(texts)
 
 
+def test_fingerprints_propose_pairs(spark, docs_of, monkeypatch):
+    """Pairs within two bits, found in BK-trees, go to the exact comparison, and only those of them that are alike link."""
+    proposed = []
+    near = similar._near_prints
+
+    def seen(sets, keep):
+        pairs = near(sets, keep)
+        rows = {r.id: r.fp for r in sets.select("id", "fp").collect()}
+        proposed.append({(rows[r.a] ^ rows[r.b]) % 2**64 for r in pairs.collect()})
+        return pairs
+
+    monkeypatch.setattr(similar, "_near_prints", seen)
+    texts = corpus()
+    base = " ".join(f"b{i}" for i in range(600)).split()
+    texts += [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(0, 600, 10)]
+    got = corpus_pipeline.near_duplicate_stage(spark, docs_of(texts), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(slow_groups(texts)))
+    assert proposed[0] and max(d.bit_count() for d in proposed[0]) in (1, 2)
+
+
 def test_grades_are_powers_of_two(spark, docs_of, monkeypatch):
     monkeypatch.setattr(similar, "SAMPLED", 1)
     texts = [f"a b c d e x{i} y{i} z{i} {'f g h i j' if i % 4 == 0 else f'k{i}'}" for i in range(40)] + ["a b c d e x0 y0 z0 f g h i j"]

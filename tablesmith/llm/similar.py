@@ -11,6 +11,9 @@ of the same shingles are linked in BK-trees, and each document with one other un
 least hash; the second skips pairs that are connected by then, so a group of near copies costs about one
 row a member and shingle. Fingerprints propose pairs, the sets decide, and the second round finds what
 fingerprints miss: pairs of similarity 0.8 mostly differ in more bits than the trees' radius.
+
+Texts are what is heavy, so few of them are shuffled: a bit sketch of either set rules most candidates out
+before their texts are fetched, and Bloom filters of row keys leave all others where they are.
 """
 
 from __future__ import annotations
@@ -19,13 +22,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.llm.bpe import by_bytes
-from tablesmith.llm.common import one_of_each, row_key, text_of
+from tablesmith.llm.common import least_row, row_key, text_of
 from tablesmith.llm.components import connected_components
 from tablesmith.llm.decontam import bloom_filter, in_bloom
 from tablesmith.llm.simhash import fingerprint_links, majority
@@ -38,6 +42,7 @@ SAMPLED = 16  # one text in so many says which shingles are common
 GROUP_CHARS = 1 << 20
 _FIRST = 8  # shingles under which the first round looks
 _HELD = 64  # sets a task remembers
+_ODD_BITS = 1024  # bits of a sketch
 _SLACK = 1e-9  # for products of the similarity that should be whole
 
 
@@ -56,6 +61,26 @@ def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bits that say which of so many buckets hold an odd number of shingles, as 64-bit integers.
+
+    Each bit in which two sketches differ stands for a shingle at least that only one of the sets has.
+    """
+    odd = np.bincount((shingles % np.uint64(_ODD_BITS)).astype(np.int64), minlength=_ODD_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_hold(keys: DataFrame, seed: Column) -> Column:
+    """True for each ``seed`` that ``keys`` (``seed``) holds, and for hardly any other: a Bloom filter."""
+    bloom = keys.sparkSession.sparkContext.broadcast(bloom_filter(keys, keys.count()))
+
+    @F.pandas_udf("boolean")
+    def held(seeds: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(bloom.value, seeds.to_numpy().view(np.uint64)))
+
+    return held(seed)
+
+
 def _common_shingles(rows: DataFrame, width: int, keep) -> list[np.ndarray]:
     """Bloom filters of the shingles that 2, 4, 8 and so on different texts of a sample hold; ``rows`` has ``text``.
 
@@ -85,7 +110,7 @@ def _grades(common: list[np.ndarray], shingles: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str, common: list[np.ndarray]) -> DataFrame:
-    """``key``, ``doc_id``, ``node`` (128-bit hash of the set), ``n`` (its size), ``fp`` (its fingerprint), ``least`` (its least hashes) and ``prefix`` for each row."""
+    """``key``, ``doc_id``, ``node`` (128-bit hash of the set), ``n`` (its size), ``fp`` (its fingerprint), ``odd`` (its sketch), ``least`` (its least hashes) and ``prefix`` for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -104,13 +129,14 @@ def _signed(docs: DataFrame, width: int, similarity: float, id_col: str, text_co
                 node = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 size = pa.array([len(s) for s in sets], pa.int32())
                 prints = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+                odd = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * (_ODD_BITS // 64), pa.array(np.concatenate([odd_sketch(s) for s in sets])))
                 head = [batch.column(i).slice(at, len(group)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*head, node, size, prints, lists([s[:_FIRST] for s in sets]), lists(prefix)], names=["key", "doc_id", "node", "n", "fp", "least", "prefix"])
+                yield pa.RecordBatch.from_arrays([*head, node, size, prints, odd, lists([s[:_FIRST] for s in sets]), lists(prefix)], names=["key", "doc_id", "node", "n", "fp", "odd", "least", "prefix"])
                 at += len(group)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(work, f"key struct<a:long,b:long>, doc_id {kind}, node binary, n int, fp long, least array<long>, prefix array<long>")
+    return rows.mapInArrow(work, f"key struct<a:long,b:long>, doc_id {kind}, node binary, n int, fp long, odd array<long>, least array<long>, prefix array<long>")
 
 
 def _shared_shingles(sets: DataFrame, keep) -> DataFrame:
@@ -134,6 +160,14 @@ def _shared_shingles(sets: DataFrame, keep) -> DataFrame:
     return listed.join(several, "seed").withColumnRenamed("seed", "shingle")
 
 
+def _not_apart(pairs: DataFrame, of_rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sketches leave the similarity possible: no pair that has it is lost."""
+    sides = [of_rows.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"odd{s}")) for s in "ab"]
+    differ = F.aggregate(F.zip_with("odda", "oddb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + _SLACK
+    return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").where(differ <= most).select("a", "b")
+
+
 def _alike(pairs: DataFrame, of_rows: DataFrame, docs: DataFrame, width: int, similarity: float, keep) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets are as similar as that, each compared whole. ``docs`` has ``key`` and ``text``."""
 
@@ -157,8 +191,9 @@ def _alike(pairs: DataFrame, of_rows: DataFrame, docs: DataFrame, width: int, si
 
     pairs = keep(pairs.select("a", "b"), "candidates")
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    texts = docs.join(of_rows.select("id", "key").join(wanted, "id"), "key").groupBy("id").agg(F.first("text").alias("text"))
-    texts = keep(texts, "candidate-texts")
+    wanted = keep(of_rows.select("id", "key").join(wanted, "id"), "wanted")
+    texts = docs.where(_may_hold(wanted.select(F.col("key.a").alias("seed")), F.col("key.a"))).groupBy("key").agg(F.first("text").alias("text"))
+    texts = keep(texts.join(wanted, "key").select("id", "text"), "candidate-texts")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
@@ -187,15 +222,17 @@ def _groups(docs: DataFrame, width: int, similarity: float, id_col: str, text_co
     rows = docs.select(row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
     signed = _signed(docs, width, similarity, id_col, text_col, _common_shingles(rows, width, keep))
     of_rows = keep(signed.withColumn("id", F.monotonically_increasing_id()), "shingle-sets")
-    nodes = keep(of_rows.groupBy("node").agg(F.min("id").alias("id")), "distinct-sets")
-    sets = of_rows.join(nodes.select("id"), "id")
+    nodes = keep(of_rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows")), "distinct-sets")
+    # sets of one row stay where they are
+    repeated = _may_hold(nodes.where("rows > 1").select(F.xxhash64("node").alias("seed")), F.xxhash64("node"))
+    sets = of_rows.where(~repeated).unionByName(of_rows.where(repeated).join(nodes.select("id"), "id", "left_semi"))
 
     # the first round may miss pairs, the second takes all that are not connected by then
     few = keep(sets.select("id", "n", F.explode("least").alias("shingle")), "least-shingles")
     lead = few.groupBy("shingle").agg(F.min("id").alias("a"))
     near = few.join(lead, "shingle").where("a <> id").groupBy("a", F.col("id").alias("b"), "n").agg(F.count(F.lit(1)).alias("c"))
     near = near.where(2 * F.col("c") >= F.least(F.lit(_FIRST), F.col("n")))
-    near = near.select("a", "b").unionAll(_near_prints(sets, keep)).distinct()
+    near = _not_apart(near.select("a", "b").unionAll(_near_prints(sets, keep)).distinct(), of_rows, similarity)
     links = keep(_alike(near, of_rows, rows, width, similarity, keep), "first-links")
 
     shared = keep(_shared_shingles(sets.select("id", "n", "prefix"), keep), "shared-shingles")
@@ -217,12 +254,20 @@ def _groups(docs: DataFrame, width: int, similarity: float, id_col: str, text_co
     met = met.where(beyond >= least)
     met = met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("ata").alias("ata"), F.max("atb").alias("atb"))
     # up to the last common shingle that is left they share c, and after it at most what either has there
-    met = met.where(F.col("c") + beyond - 1 >= least)
+    met = _not_apart(met.where(F.col("c") + beyond - 1 >= least), of_rows, similarity)
     found = connected_components(links.unionAll(_alike(met, of_rows, rows, width, similarity, keep)))
     named = nodes.join(found.withColumnRenamed("node", "of"), F.col("id") == F.col("of"), "left").select("node", F.coalesce("root", "id").alias("root"))
     return of_rows.select("key", "doc_id", "node").join(named, "node").select("key", "doc_id", "root")
 
 
 def drop_similar(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each group of ``similar_groups``, chosen as in ``one_of_each``."""
-    return one_of_each(docs, similar_groups(docs, width, similarity, id_col, text_col), "root", id_col, text_col)
+    """One row of ``docs`` for each group of ``similar_groups``, chosen as in ``one_of_each``; rows alone in theirs are not shuffled."""
+    groups = similar_groups(docs, width, similarity, id_col, text_col)
+    several = groups.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root")
+    several = stored(groups.join(several, "root"), "of-several")
+    best = several.groupBy("root").agg(least_row().alias("best"))
+    gone = several.join(best, "root").where(F.col("key") != F.col("best.key")).select("key")
+    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))
+    held = _may_hold(several.select(F.col("key.a").alias("seed")), F.col("key.a"))
+    chosen = rows.where(held).join(gone, "key", "left_anti").groupBy("key").agg(F.first("row").alias("row"))
+    return rows.where(~held).select("row.*").unionAll(chosen.select("row.*"))

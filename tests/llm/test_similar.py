@@ -120,3 +120,41 @@ def test_unrelated_texts_without_id_or_under_one_id_stay(spark, docs_of):
     rows = [(None, "quite some words that stand alone"), (None, "and another text of its own"), (4, "here is a third one too"), (4, "which shares an id with this"), (4, "which shares an id with this")]
     assert corpus_pipeline.near_duplicate_stage(spark, docs_of(rows), "").count() == 4
     assert corpus_pipeline.near_duplicate_stage(spark, docs_of([]), "").count() == 0
+
+
+def test_pairs_too_far_apart_never_fetch_texts(spark, docs_of, monkeypatch):
+    """Near copies that fall short of the similarity share many shingles; their sketches rule them out, and no similar pair."""
+    compared = []
+    alike = similar._alike
+
+    def counted(pairs, *args):
+        compared.append(pairs.select("a", "b").distinct().count())
+        return alike(pairs, *args)
+
+    monkeypatch.setattr(similar, "_alike", counted)
+    base = [f"b{i}" for i in range(400)]
+    texts = []
+    for i in range(30):  # any two differ in 24 words: similarity about 0.54
+        copy = list(base)
+        for j in range(12):
+            copy[(i + 33 * j) % 400] = f"own{i}x{j}"
+        texts.append(" ".join(copy))
+    assert sorted(set(slow_groups(texts))) == list(range(30))
+    assert similar.drop_similar(docs_of(texts)).count() == 30
+    assert sum(compared) == 0
+
+
+def test_sketches_bound_the_difference():
+    sets = similar.shingle_sets([t or "" for t in corpus()])
+    sketches = [similar.odd_sketch(s) for s in sets]
+    for a, x in zip(sets, sketches):
+        for b, y in zip(sets, sketches):
+            assert int.from_bytes((x ^ y).tobytes()).bit_count() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_only_wanted_texts_are_shuffled(spark, docs_of):
+    """Rows that are alone in their group never meet an exchange."""
+    texts = [f"text number {i} of words {i * i} alone {i * 7}" for i in range(300)] + ["the very same words here again"] * 2
+    out = similar.drop_similar(docs_of(texts))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(301))
+    assert "Union" in out._jdf.queryExecution().executedPlan().toString()

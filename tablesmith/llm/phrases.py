@@ -11,7 +11,7 @@ missing any. Parts of a frequent phrase are frequent themselves, so all counts t
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -32,8 +32,9 @@ TOP = 2000
 CONTAINED = 100  # percent of its occurrences that a longer phrase takes for a phrase to be dropped
 DICTIONARY = 1 << 19  # words sent to every task; a larger vocabulary is joined
 GROUP_CHARS = 1 << 20
-HELD = 1 << 21  # keys that a task holds before it passes its filters on
-SHARD_KEYS = 1 << 21  # keys in a range of quotients, on average at most
+COUNTED = 1 << 18  # words that a task holds before it passes their counts on
+HELD = 1 << 19  # keys of a size that a task holds before it passes its filters on
+SHARD_KEYS = 1 << 20  # keys in a range of quotients, on average at most
 
 # What ends a piece, and what separates words in it.
 ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -74,7 +75,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 words = tokens(group)
                 counts.update(words)
                 counts[b""] += len(words) - counts.pop(_BREAK, 0)
-                if sum(map(len, held.values())) > HELD // 8:
+                if sum(map(len, held.values())) > COUNTED:
                     yield out()
         if held:
             yield out()
@@ -82,26 +83,38 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _ids_by_dictionary(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``ids``: runs of word ids, 0 between pieces and for other words, of many texts each."""
+Runs = Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]
+
+
+def _ids_by_dictionary(rows: DataFrame, vocabulary: DataFrame) -> Runs:
+    """What makes of the texts of ``rows`` runs of word ids, 0 between pieces and for other words, of many texts each.
+
+    It runs in the worker that counts: a worker of its own would hold the dictionary and the texts beside.
+    """
     table: dict[str, dict[bytes, int]] = {}
     for r in vocabulary.collect():  # at most DICTIONARY words
         table.setdefault(r.lang, {})[r.word.encode()] = r.id
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             for lang, group in _by_lang(batch):
                 known = shared.value.get(lang, {})
                 words = tokens(group)
-                ids = np.fromiter(map(known.get, words, repeat(0)), np.uint32, len(words))
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], names=["ids"])
+                yield np.fromiter(map(known.get, words, repeat(0)), np.uint32, len(words))
+
+    return runs
 
-    return rows.mapInArrow(work, "ids binary")
+
+def _stored_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The runs of a table made by ``_ids_by_join``."""
+    for batch in batches:
+        for blob in batch.column(0):
+            yield np.frombuffer(blob.as_buffer(), np.uint32)
 
 
 def _ids_by_join(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The same for a vocabulary of any size: one row for each text."""
+    """``ids``: the same runs for a vocabulary of any size, one row for each text."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,8 +181,8 @@ def _pair_seed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
 
 
-def frequent_phrases(corpus: DataFrame, sizes: range, bits: int, min_count: int, shard_bits: int, bloom: np.ndarray | None = None) -> DataFrame:
-    """``ids``, ``n``, ``seed`` (of pairs) of the phrases of these ``sizes`` that occur ``min_count`` times."""
+def frequent_phrases(corpus: DataFrame, runs: Runs, sizes: range, bits: int, min_count: int, shard_bits: int, bloom: np.ndarray | None = None) -> DataFrame:
+    """``ids``, ``n``, ``seed`` (of pairs) of the phrases of these ``sizes`` that occur ``min_count`` times in the ``runs`` of ``corpus``."""
     shared = None if bloom is None else corpus.sparkSession.sparkContext.broadcast(bloom)
     half = {n: -(-n * bits // 2) for n in sizes}
 
@@ -187,26 +200,24 @@ def frequent_phrases(corpus: DataFrame, sizes: range, bits: int, min_count: int,
                     blob = quotient.pack((keys[0][a:b], keys[1][a:b]), counts[a:b], half[n])
                     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([shard], pa.int32()), pa.array([blob], pa.binary())], names=["size", "shard", "filter"])
 
-        for batch in batches:
-            for blob in batch.column(0):
-                ids = np.frombuffer(blob.as_buffer(), np.uint32)
-                good = (ids[:-1] > 0) & (ids[1:] > 0)
-                if shared is not None:
-                    at = np.flatnonzero(good)
-                    good[at] = in_bloom(shared.value, _pair_seed(ids[at], ids[at + 1]))
-                run = good
-                for n in range(2, sizes.stop):
-                    if n > 2:  # all pairs of the n words
-                        run = run[: max(len(run) - 1, 0)] & good[n - 2 :]
-                    at = np.flatnonzero(run) if n in half else ()
-                    for a in range(0, len(at), HELD):
-                        held[n].append(quotient.count(_packed(ids, n, at[a : a + HELD], bits), half[n]))
-                        fresh[n] += len(held[n][-1][1])
-                        if fresh[n] > HELD:
-                            held[n] = [quotient.merge(held[n], half[n])]
-                            fresh[n] = 0
-                            if len(held[n][0][1]) > HELD // 2:
-                                yield from out(n)
+        for ids in runs(batches):
+            good = (ids[:-1] > 0) & (ids[1:] > 0)
+            if shared is not None:
+                at = np.flatnonzero(good)
+                good[at] = in_bloom(shared.value, _pair_seed(ids[at], ids[at + 1]))
+            run = good
+            for n in range(2, sizes.stop):
+                if n > 2:  # all pairs of the n words
+                    run = run[: max(len(run) - 1, 0)] & good[n - 2 :]
+                at = np.flatnonzero(run) if n in half else ()
+                for a in range(0, len(at), HELD):
+                    held[n].append(quotient.count(_packed(ids, n, at[a : a + HELD], bits), half[n]))
+                    fresh[n] += len(held[n][-1][1])
+                    if fresh[n] > HELD:
+                        held[n] = [quotient.merge(held[n], half[n])]
+                        fresh[n] = 0
+                        if len(held[n][0][1]) > HELD // 2:
+                            yield from out(n)
         for n in sizes:
             if held[n]:
                 yield from out(n)
@@ -275,12 +286,12 @@ def collocations(
             raise ValueError(f"{size} frequent words make phrases of over {quotient.MAX_WIDTH} bits; raise min_count")
         shard_bits = min((every // SHARD_KEYS).bit_length(), bits)
         names = vocabulary.select("lang", "word", "id")
-        corpus = _ids_by_dictionary(rows, names) if size <= dictionary else keep(_ids_by_join(rows, names), "word-ids")
+        corpus, runs = (rows, _ids_by_dictionary(rows, names)) if size <= dictionary else (keep(_ids_by_join(rows, names), "word-ids"), _stored_runs)
 
-        pairs = keep(frequent_phrases(corpus, range(2, 3), bits, min_count, shard_bits), "pairs")
+        pairs = keep(frequent_phrases(corpus, runs, range(2, 3), bits, min_count, shard_bits), "pairs")
         found = pairs
         if max_words > 2:
-            longer = frequent_phrases(corpus, range(3, max_words + 1), bits, min_count, shard_bits, bloom_filter(pairs.select("seed"), pairs.count()))
+            longer = frequent_phrases(corpus, runs, range(3, max_words + 1), bits, min_count, shard_bits, bloom_filter(pairs.select("seed"), pairs.count()))
             found = pairs.unionByName(keep(longer, "longer"))
         return stored(_ranked(found.select("ids", F.col("n").alias("a")), vocabulary, total, top, contained, keep), "phrases")
 

@@ -1,6 +1,7 @@
 """Counting quotient filters against plain counting, and phrases against brute force."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -132,3 +133,25 @@ def test_small_tables(spark):
     assert phrases.collocations(spark.createDataFrame([("en", "just once")], "lang string, text string")).count() == 0
     with pytest.raises(ValueError):
         phrases.collocations(empty, 0)
+
+
+def test_a_counting_task_holds_few_keys():
+    """Runs of words that never repeat: the task passes keys on instead of keeping them, and reads texts without a second worker."""
+
+    class Corpus:
+        def mapInArrow(self, work, _):  # noqa: N802
+            self.work = getattr(self, "work", work)  # the first is the one that counts
+            return self
+
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition  # noqa: N815
+
+    rnd, corpus = np.random.default_rng(3), Corpus()
+    phrases.frequent_phrases(corpus, lambda _: (rnd.integers(1, 1 << 15, 1 << 18).astype(np.uint32) for _ in range(16)), range(3, 6), 15, 2, 4)
+    tracemalloc.start()
+    keys = sum(quotient._HEAD.unpack_from(batch.column(2)[0].as_py())[0] for batch in corpus.work(iter([])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert keys > 12_000_000 and peak < 160 << 20

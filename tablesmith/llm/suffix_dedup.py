@@ -21,17 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.llm import anchors
 from tablesmith.llm.common import hash128, row_key, text_of
 from tablesmith.llm.decontam import bloom_filter, in_bloom
-from tablesmith.session import scratch_tables, stored
+from tablesmith.session import scratch_tables, shuffles_deleted, stored
 
 SIZE = 100
 LETTER = 8
-SHARD_BYTES = 1_500_000  # sorted at once; positions must fit 21 bits
+SHARD_BYTES = 200_000  # sorted at once, as anchors allow, to stay in the cache; positions must fit 21 bits
 HOT_CONTENTS = 4_096  # an anchor with more contents is not put into one shard
 
 
@@ -191,21 +192,30 @@ def _sorted_shards(regions: DataFrame, kind: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        anchor, known = None, set()
+        of_anchor, known = [], set()
+
+        def close() -> None:
+            # a region that is alone with its anchor (a false hit of the filter) repeats nothing
+            nonlocal size
+            if len(of_anchor) > 1:
+                rows.extend(of_anchor)
+                size += sum(len(r[5]) for r in of_anchor)
+
         for batch in batches:
             id_kind = batch.schema.field("doc_id").type
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != anchor:
-                    anchor, known = row[0], set()
+                if of_anchor and row[0] != of_anchor[0][0]:
+                    close()
+                    of_anchor, known = [], set()
+                    if size > SHARD_BYTES:
+                        yield spans(rows, id_kind)
+                        rows, size = [], 0
                 # rows come by place: of equal regions the first is enough, what is later is removed whole and what is as early gets its spans
                 if row[5] in known:
                     continue
                 known.add(row[5])
-                if size > SHARD_BYTES - HOT_CONTENTS * 2 * SIZE and row[0] != rows[-1][0]:
-                    yield spans(rows, id_kind)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[5])
+                of_anchor.append(row)
+        close()
         if rows:
             yield spans(rows, id_kind)
 
@@ -226,9 +236,10 @@ def _hashed_windows(regions: DataFrame, keep) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_contents: int = HOT_CONTENTS) -> DataFrame:
     """``doc_id``, ``mark`` (tells rows of one id apart), ``start``, ``stop``: spans of bytes to remove, which may overlap.
 
-    They are written to the shared folder; the far larger tables they are found with are deleted.
+    They are written to the shared folder; the far larger tables and shuffles they are found with are deleted as soon
+    as the next step has what it needs of them.
     """
-    with scratch_tables(docs.sparkSession) as keep:
+    with shuffles_deleted(docs.sparkSession), scratch_tables(docs.sparkSession) as keep:
         return stored(_spans(docs, keep, id_col, text_col, hot_contents), "spans")
 
 
@@ -237,35 +248,44 @@ def _spans(docs: DataFrame, keep, id_col: str, text_col: str, hot_contents: int)
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col)["a"].alias("mark"), F.encode(text_of(text_col), "UTF-8").alias("bytes"))
     rows = rows.where(F.octet_length("bytes") >= SIZE)
     place = f"doc_id {kind}, mark long, start long"
+    with scratch_tables(docs.sparkSession) as passing:
+        copies, hot, bloom = _copies(rows, place, keep, passing, hot_contents)
+
+    # anchors with several contents: the suffixes of the earliest regions
+    texts = keep(_scan(rows, f"anchor long, {place}, place long, bytes binary", _contents, bloom), "suffixes")
+    sorted_spans = _sorted_shards(texts.join(hot, "anchor", "left_anti"), kind)
+    spans = sorted_spans.unionByName(_hashed_windows(texts.join(hot, "anchor", "left_semi"), keep))
+    ties = copies.where(~F.col("later"))
+    if not ties.isEmpty():
+        # an id has several texts: a copy as early as the first loses what the first does
+        spans = keep(spans, "shard-spans")
+        ties = ties.select(F.col("mark").alias("also"), F.col("first_mark").alias("mark"), F.col("start").alias("region"))
+        spans = spans.unionByName(spans.join(ties, ["mark", "region"]).drop("mark").withColumnRenamed("also", "mark"))
+    return copies.where("later").select("doc_id", "mark", "start", "stop").unionByName(spans.drop("region"))
 
+
+def _copies(rows: DataFrame, place: str, keep, passing, hot_contents: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Regions with an earlier or equally early copy, anchors of more than ``hot_contents`` contents, and a filter of the places whose suffixes are to be compared."""
     # anchors that occur twice; every other region is alone
     twice = _scan(rows, "anchor long, n long", _anchor_counts).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    twice = keep(twice.select(F.col("anchor").alias("seed")), "anchors")
+    twice = passing(twice.select(F.col("anchor").alias("seed")), "anchors")
     found = _scan(rows, f"anchor long, content long, {place}, length long", _occurrences, bloom_filter(twice, twice.count()))
-    found = keep(found, "regions")
+    found = passing(found, "regions")
 
     # of each content the earliest place stays, the others are removed whole
     at = F.struct("doc_id", "start", "mark")
-    contents = keep(found.groupBy("anchor", "content").agg(F.min(at).alias("first"), F.max(at).alias("last")), "contents")
-    copies = contents.where("last > first").select("anchor", "content", "first")
+    contents = passing(found.groupBy("anchor", "content").agg(F.min(at).alias("first"), F.max(at).alias("last")), "contents")
+    met = found.join(contents.where("last > first").select("anchor", "content", "first"), ["anchor", "content"])
     later = F.struct("doc_id", "start") > F.struct("first.doc_id", "first.start")
-    met = found.join(copies, ["anchor", "content"])
-    removed = met.where(later).select("doc_id", "mark", "start", (F.col("start") + F.col("length")).alias("stop"))
+    stop = (F.col("start") + F.col("length")).alias("stop")
+    copies = met.select("doc_id", "mark", "start", stop, later.alias("later"), F.col("first.mark").alias("first_mark"))
+    copies = keep(copies.where(F.col("later") | (F.col("mark") != F.col("first_mark"))), "copies")
 
-    # anchors with several contents: the suffixes of the earliest regions
-    sizes = keep(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "contested")
+    sizes = passing(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "contested")
     contested = contents.join(sizes, "anchor").select(F.col("first.mark").bitwiseXOR(F.col("first.start")).alias("seed"))
-    contested = keep(contested, "contested-places")
-    texts = keep(_scan(rows, f"anchor long, {place}, place long, bytes binary", _contents, bloom_filter(contested, contested.count())), "suffixes")
-    hot = sizes.where(F.col("n") > hot_contents).select("anchor")
-    sorted_spans = _sorted_shards(texts.join(hot, "anchor", "left_anti"), kind)
-    spans = sorted_spans.unionByName(_hashed_windows(texts.join(hot, "anchor", "left_semi"), keep))
-    if not rows.groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a <> b").isEmpty():
-        # an id has several texts: a copy as early as the first loses what the first does
-        spans = keep(spans, "shard-spans")
-        ties = met.where(~later & (F.col("mark") != F.col("first.mark"))).select(F.col("mark").alias("also"), F.col("first.mark").alias("mark"), F.col("start").alias("region"))
-        spans = spans.unionByName(spans.join(ties, ["mark", "region"]).drop("mark").withColumnRenamed("also", "mark"))
-    return removed.unionByName(spans.drop("region"))
+    contested = passing(contested, "contested-places")
+    hot = keep(sizes.where(F.col("n") > hot_contents).select("anchor"), "hot-anchors")
+    return copies, hot, bloom_filter(contested, contested.count())
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True, hot_contents: int = HOT_CONTENTS) -> DataFrame:
@@ -281,29 +301,46 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(docs, id_col, text_col, hot_contents)
     by_doc = spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     by_doc = by_doc.select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), F.transform("spans", lambda s: s["start"]).alias("starts"), F.transform("spans", lambda s: s["stop"]).alias("stops"))
+    with shuffles_deleted(docs.sparkSession):
+        marks = spans.select(F.col("mark").alias("seed")).distinct()
+        touched = docs.sparkSession.sparkContext.broadcast(bloom_filter(marks, marks.count()))
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col)["a"].alias("mark"), F.encode(text_of(text_col), "UTF-8").alias("bytes"))
-    joined = rows.join(by_doc, (rows["mark"] == by_doc["of_mark"]) & rows["doc_id"].eqNullSafe(by_doc["of_id"]), "left").select("doc_id", "bytes", "starts", "stops")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Digests of the texts that lose nothing; of the others (and false hits of the filter) the bytes go on."""
+        for batch in batches:
+            hit = in_bloom(touched.value, batch.column(1).to_numpy().view(np.uint64))
+            data = [x.as_buffer() for x in batch.column(2)]
+            sha = [hashlib.sha256(x).hexdigest() for x in data]
+            carried = batch.column(2) if with_kept else pc.if_else(pa.array(hit), batch.column(2), pa.scalar(None, batch.column(2).type))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array([len(x) for x in data], pa.int64()), pa.array(sha, pa.string()), carried],
+                names=["doc_id", "mark", "n_bytes", "kept_sha256", "bytes"],
+            )
+
+    rows = rows.mapInArrow(whole, f"doc_id {kind}, mark long, n_bytes long, kept_sha256 string, bytes binary")
+    joined = rows.join(by_doc, (rows["mark"] == by_doc["of_mark"]) & rows["doc_id"].eqNullSafe(by_doc["of_id"]), "left")
+    joined = joined.select("doc_id", "n_bytes", "kept_sha256", "bytes", "starts", "stops")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for data, starts, stops in zip(batch.column(1), batch.column(2), batch.column(3)):
-                data = data.as_buffer().to_pybytes()
+            for n, sha, data, starts, stops in zip(*batch.columns[1:]):
                 if starts.is_valid:
+                    data = data.as_buffer().to_pybytes()
                     cover = np.zeros(len(data) + 1, np.int64)
                     np.add.at(cover, starts.values.to_numpy(), 1)
                     np.add.at(cover, stops.values.to_numpy(), -1)
                     gone = np.cumsum(cover[:-1]) > 0
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                    out.append((len(data), int(gone.sum()), len(_runs(gone)[0]), kept))
+                    out.append((len(data), int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept))
                 else:
-                    out.append((len(data), 0, 0, data))
+                    out.append((n.as_py(), 0, 0, sha.as_py(), data.as_py()))
             if out:
-                n, removed, runs, kept = zip(*out)
-                cols = [pa.array(c, pa.int64()) for c in (n, removed, runs)]
+                *counts, sha, kept = zip(*out)
+                cols = [pa.array(c, pa.int64()) for c in counts]
                 extra = [pa.array(kept, pa.binary())] if with_kept else []
-                sha = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *extra, sha], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *extra, pa.array(sha, pa.string())], names=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", *(["kept"] if with_kept else []), "kept_sha256"]
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {'kept binary, ' if with_kept else ''}kept_sha256 string"

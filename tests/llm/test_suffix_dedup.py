@@ -1,11 +1,13 @@
 """Repeated byte strings against brute force: planted passages, copies, periodic and awkward texts."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
 import pytest
 
+from tablesmith import session
 from tablesmith.llm import suffix_dedup
 
 
@@ -97,6 +99,24 @@ def test_hot_passage_with_false_hits(docs_of, monkeypatch):
     assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
 
 
+def test_what_a_step_no_longer_needs_is_deleted(spark, docs_of, monkeypatch):
+    """As the suffixes are sorted, the tables that found them and the shuffles of the steps before are gone; whole texts are not shuffled."""
+    kept, left = [], []
+    path, key = session.scratch_path, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    monkeypatch.setattr(session, "scratch_path", lambda s, name: (kept.append(path(s, name)), kept[-1])[1])
+    shards = suffix_dedup._sorted_shards
+    seen = lambda *a: (left.extend(p.split("/tablesmith-")[1][:-33] for p in kept if os.path.exists(p.removeprefix("file:"))), left.append(spark.conf.get(key)), shards(*a))[-1]
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", seen)
+    before = spark.conf.get(key)
+    rows = corpus()
+    got = suffix_dedup.remove_repeats(docs_of(rows), with_kept=False)
+    assert left == ["copies", "hot-anchors", "suffixes", "true"] and spark.conf.get(key) == before
+    want = brute([(i, (t or "").encode()) for i, t in rows])
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got.collect())
+    mapped = got._jdf.queryExecution().analyzed().toString()
+    assert mapped.count("MapInArrow") == 2
+
+
 def test_small_tables(docs_of):
     assert suffix_dedup.remove_repeats(docs_of([])).count() == 0
     (row,) = suffix_dedup.remove_repeats(docs_of([None]), with_kept=False).collect()
